@@ -54,7 +54,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8000, factors: int = 4, epochs: int = 12, least: int = 8, bits: int = BITS, seed: int = 3) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, factors: int = 4, epochs: int = 6, least: int = 5, bits: int = BITS, seed: int = 3) -> Machine:
     """Fits to at most `rows` labelled documents that aren't held out; their hashed terms alone come to the driver.
 
     Buckets in fewer than `least` sampled documents have no weight.
@@ -86,31 +86,49 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 80
     row = np.repeat(np.arange(n), size)[used[flat]]
     k = np.searchsorted(bucket, flat[used[flat]])
     at = np.searchsorted(row, np.arange(n + 1))
+    b, w, v = descend(k, at, y, len(bucket), b, factors, epochs, seed)
+    return Machine(bits, b, bucket, w, v)
+
+
+def descend(k: np.ndarray, at: np.ndarray, y: np.ndarray, size: int, b: float, factors: int, epochs: int, seed: int, l1: float = 1e-3) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by AdaGrad on the logistic loss; row i has the terms k[at[i] : at[i + 1]] of `size`.
+
+    The L1 step keeps terms without evidence at zero.
+    """
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(bucket)), rng.normal(0, 0.01, (len(bucket), factors))
-    gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
-    for epoch in range(epochs):
+    n = len(y)
+    # start from half the log odds of the terms whose share among the positive differs by over 4 deviations
+    row = np.repeat(np.arange(n), np.diff(at))
+    pos, all_ = np.bincount(k, y[row], size), np.bincount(k, minlength=size)
+    share = y.sum() / n
+    far = np.abs(pos - all_ * share) / np.sqrt(all_ * share * (1 - share) + 1e-9) > 4
+    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((all_ - pos + 0.5) / (n - y.sum() + 1))
+    w, v = np.where(far, odds / 2, 0.0), rng.normal(0, 0.01, (size, factors))
+    gw, gv, gb = np.full(size, 1.0), np.full(v.shape, 1.0), 1.0
+    for _ in range(epochs):
         order = rng.permutation(n)
         for s in range(0, n, 256):
             own = order[s : s + 256]
             count = at[own + 1] - at[own]
-            take = np.arange(count.sum()) + np.repeat(at[own] - (np.cumsum(count) - count), count)
-            kk, rr = k[take], np.repeat(np.arange(len(own)), count)
+            kk = k[np.arange(count.sum()) + np.repeat(at[own] - (np.cumsum(count) - count), count)]
+            rr = np.repeat(np.arange(len(own)), count)
             total = np.stack([np.bincount(rr, v[kk, f], len(own)) for f in range(factors)], 1)
             square = np.bincount(rr, (v[kk] ** 2).sum(1), len(own))
             z = b + np.bincount(rr, w[kk], len(own)) + 0.5 * ((total**2).sum(1) - square)
-            r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) / len(own)
+            r = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]
             gb += r.sum() ** 2
-            b -= 0.1 * r.sum() / np.sqrt(gb)
-            g = np.bincount(kk, r[rr], len(w)) + 1e-5 * w
+            b -= 0.2 * r.sum() / np.sqrt(gb)
+            g = np.bincount(kk, r[rr], size)
             gw += g * g
-            w -= 0.1 * g / np.sqrt(gw)
-            w = np.sign(w) * np.maximum(0, np.abs(w) - 2e-5 / np.sqrt(gw))
+            rate = 0.3 / np.sqrt(gw)
+            w = w - rate * g
+            w = np.sign(w) * np.maximum(0, np.abs(w) - rate * l1 * len(own))
             for f in range(factors):
-                g = np.bincount(kk, r[rr] * (total[rr, f] - v[kk, f]), len(w)) + 1e-4 * v[:, f]
+                g = np.bincount(kk, r[rr] * (total[rr, f] - v[kk, f]), size) + 1e-2 * v[:, f]
                 gv[:, f] += g * g
                 v[:, f] -= 0.05 * g / np.sqrt(gv[:, f])
-    return Machine(bits, float(b), bucket, w, v)
+            v[w == 0] *= 0.98  # factors of terms without a weight fade
+    return float(b), w, v
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafwork.llm import bitpack, packing
+from leafwork.llm import bitpack, chosenpath, factorization, packing, rules
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rules.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    out = rules.score(docs, model)
+    return out.select("doc_id", "held_out", "score", F.expr("int(score >= 0.7)").alias("predicted"))
+
+
+def op2_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, full=1024, end_id=2, with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -24,8 +35,16 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = factorization.fit(docs, table(spark, sf_dir, "labels"), "toxic")
+    out = factorization.score(docs, model)
+    return out.select("doc_id", "held_out", "score", F.expr("int(score >= 0.3)").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_bit_packed_ids)}
+    found = (op1_quality_rules, op2_chosen_path_dedup, op3_best_fit_packing, op4_bit_packed_ids, op6_toxicity_machine)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
