@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafwork.llm import bitpack, chosenpath, factorization, packing, rules
+from leafwork.llm import bitpack, chosenpath, factorization, mixing, packing, rules, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,8 +42,24 @@ def op6_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", F.expr("int(score >= 0.3)").alias("predicted"))
 
 
+#: The rules of the URL query.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, [urls.rule(*r) for r in URL_RULES], urls.fit())
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    took, _ = mixing.mix(sized)
+    return took.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    found = (op1_quality_rules, op2_chosen_path_dedup, op3_best_fit_packing, op4_bit_packed_ids, op6_toxicity_machine)
+    found = (op1_quality_rules, op2_chosen_path_dedup, op3_best_fit_packing, op4_bit_packed_ids, op6_toxicity_machine, op8_url_filter, op9_source_schedule)
     return {f.__name__: f for f in found}
 
 
