@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafwork.llm import bitpack, chosenpath, factorization, mixing, packing, rules, urls
+from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, routing, rules, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -35,6 +35,10 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op6_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = factorization.fit(docs, table(spark, sf_dir, "labels"), "toxic")
@@ -42,6 +46,11 @@ def op6_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", F.expr("int(score >= 0.3)").alias("predicted"))
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return routing.search(rows, rows.filter("vec_id % 20 = 0"), top=20)
+
+
 #: The rules of the URL query.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -59,7 +68,7 @@ def op9_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_quality_rules, op2_chosen_path_dedup, op3_best_fit_packing, op4_bit_packed_ids, op6_toxicity_machine, op8_url_filter, op9_source_schedule)
+    found = (op1_quality_rules, op2_chosen_path_dedup, op3_best_fit_packing, op4_bit_packed_ids, op5_projection_forest, op6_toxicity_machine, op7_learned_partitions, op8_url_filter, op9_source_schedule)
     return {f.__name__: f for f in found}
 
 
