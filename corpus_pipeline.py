@@ -1,28 +1,54 @@
-"""A corpus pipeline over documents: toxicity, near-dedup, repeated passages, mixing, packing."""
+"""A corpus pipeline over documents: toxicity, near-dedup, repeated passages, mixing, packing.
+
+Each stage is one operator of leafwork.llm on all documents that its predecessor kept. The first four return the
+columns of documents; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafwork.llm import packing
+from leafwork.llm import chosenpath, factorization, mixing, packing, repeats
+from leafwork.llm.common import stage
 from leafwork.llm.queries import TOKENIZER
 
+#: No stage can be checked by SQL: a trained model, 64-bit shingles, byte strings, a tokenizer. See tests/llm.
+ORACLE_SQL = None
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine doesn't call toxic (score below 0.3); it learns from labels, without the held-out rows."""
+    model = factorization.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
+    return factorization.score(docs, model).filter("score < 0.3").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near-duplicates; documents without words stay."""
+    kept = chosenpath.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their places in sequences of 1024 tokens."""
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the bytes of 100-byte strings that start earlier."""
+    return repeats.without_repeats(docs, length=100)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as the schedule takes them, the last of a source cut where it ends."""
+    return mixing.mixed_texts(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their ids and places in sequences of 1024 tokens."""
     return packing.pack(docs, TOKENIZER, full=1024, end_id=2)
 
 
-STAGES = [("packing", pack_stage)]
-ORACLE_SQL = None
+STAGES = [("toxicity", toxicity), ("near-dedup", near_dedup), ("repeated passages", repeated_passages), ("mixing", mixture), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from leafwork.llm.common import stage
-
+    """STAGES applied to documents, each stage's result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs, name.replace(" ", "-"))
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -110,7 +110,9 @@ def blocks(placed: DataFrame, plan: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024, seed: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(a row per document: doc_id, source, [text,] size, source_size, target, at, first_take, second_take, taken; the schedule).
+    """(docs with size, source_size, target, at, first_take, second_take, taken; the schedule).
+
+    docs has doc_id, source and text, or the texts' size in its place; columns of the new names are replaced.
 
     The takes are the words that the schedule's blocks hold of the document in the first and in the second epoch, each
     from its first word on; most must not be above 2. A null source is a source of its own, named last. Null, empty
@@ -119,8 +121,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     if most > 2:
         raise ValueError("a document is taken in two epochs at most")
-    sized = docs.drop("size", "source_size", "target", "at", "taken") if "size" not in docs.columns or "text" in docs.columns else docs
-    sized = sizes(sized) if "text" in sized.columns else sized
+    sized = sizes(docs) if "text" in docs.columns else docs
     goals = targets(sized, weights, share, most)
     plan = schedule(goals, block)
     placed = stage(streams(sized, goals, seed), "streams")
@@ -135,15 +136,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each epoch in which a document is taken, its text cut after the last taken word.
+    """The mix as documents: a document's text as often as it is taken whole, then cut after its last taken word.
 
-    Columns as in docs; n_chars, if there, is the new text's.
+    Columns as in docs; n_chars, if there, is the new text's. Texts go through one shuffle: the mix is made of sizes.
+    Rows that share doc_id and text are each taken as the one of them that is taken most.
     """
-    took, _ = mix(docs, **options)
-    rows = took.withColumn("_take", F.explode(F.array("first_take", "second_take"))).filter("_take > 0")
-    space = r"[\\x20\\x09-\\x0D]"
-    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '({space}*[^{space[1:-1]}]+)', 1), 1, int(_take)), '')")
-    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("size"), cut).otherwise(F.col("text")))
+    mark = F.xxhash64("text").alias("_x")
+    took, _ = mix(sizes(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", mark), **options)
+    took = took.filter("taken > 0").groupBy("doc_id", "_x").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
+    took = took.withColumnRenamed("doc_id", "_d").withColumnRenamed("_x", "_y")
+    rows = docs.withColumn("_x", mark).join(took, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_y")))
+    rows = rows.withColumn("_take", F.explode(F.expr("concat(array_repeat(_size, int(_taken div _size)), filter(array(_taken % _size), x -> x > 0))")))
+    space = r"\\x20\\x09-\\x0D"
+    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '([{space}]*[^{space}]+)', 1), 1, int(_take)), '')")
+    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("_size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, routing, rules, urls
+from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, repeats, routing, rules, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,8 +67,13 @@ def op9_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return took.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return judged.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
-    found = (op1_quality_rules, op2_chosen_path_dedup, op3_best_fit_packing, op4_bit_packed_ids, op5_projection_forest, op6_toxicity_machine, op7_learned_partitions, op8_url_filter, op9_source_schedule)
+    found = (op1_quality_rules, op2_chosen_path_dedup, op3_best_fit_packing, op4_bit_packed_ids, op5_projection_forest, op6_toxicity_machine, op7_learned_partitions, op8_url_filter, op9_source_schedule, op10_suffix_repeats)
     return {f.__name__: f for f in found}
 
 
