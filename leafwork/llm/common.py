@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from leafwork.session import ship
+
 _OWN: dict[str, str] = {}
 
 
@@ -44,7 +46,9 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, as one text can be very long; a value set by the user stays."""
+    """Readies a session for Python work on texts: Arrow batches of few rows, as one text can be very long (a value set
+    by the user stays), and this package on the executors."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(rows))

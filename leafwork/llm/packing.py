@@ -176,6 +176,7 @@ def place(cut: DataFrame, full: int = 1024) -> DataFrame:
 
     A piece's rank among those of its length is its task's first rank (a running sum of counts by task) plus `local`.
     """
+    small_batches(cut.sparkSession)
     counts = stage(cut.groupBy("part", "length").count(), "lengths")
     histogram = np.zeros(full + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most `full` rows

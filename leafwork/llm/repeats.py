@@ -280,16 +280,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with what repeats taken out of text (and n_chars, if there); a character cut in the middle goes."""
-    kept = remove_repeats(docs, length)
+    kept, names = remove_repeats(docs, length), docs.columns
 
     def decode(batches):
         for batch in batches:
             texts = [k.decode(errors="ignore") for k in batch.column("kept").to_pylist()]
-            cols = {n: batch.column(n) for n in docs.columns}
+            cols = {n: None if n == "text" else batch.column(n) for n in names}
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([len(t) for t in texts], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     kind = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return kept.select(*(c for c in docs.columns if c != "text"), "kept").mapInArrow(decode, kind)
+    return kept.select(*(c for c in names if c != "text"), "kept").mapInArrow(decode, kind)

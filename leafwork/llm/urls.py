@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leafwork.llm.common import small_batches
+
 #: A small labelled table: URLs to block and to allow.
 BLOCK = """
 http://ads.adserver.com/click?id=1
@@ -176,6 +178,7 @@ def judge(pages: DataFrame, rules: list[UrlRule], model: UrlModel, cut: float =
     rule is null where none fits; a null or empty url has empty host and path and goes to the model. Columns of these
     names in pages are replaced.
     """
+    small_batches(pages.sparkSession, 2000)
     names = ["host", "path", "rule", "verdict", "score"]
     host, path = host_path(F.col("url"))
     df = pages.drop(*names).withColumn("host", host).withColumn("path", path)
