@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from leafwork.plans import text_queries
+from leafwork.plans.frame import literal, over_tables
+
+
+def _specs() -> dict:
+    return dict(text_queries.SPECS)
+
 
 def queries() -> dict:
-    return {}
+    return {name: over_tables(spec) for name, spec in _specs().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: literal(spec) for name, spec in _specs().items()}

@@ -1 +1 @@
-"""See the package README."""
+"""Where pages come from: text tables as blocks, files of pages, fixtures."""
