@@ -16,8 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafwork.llm import common
-from leafwork.llm.common import components, small_batches, stage
+from leafwork.llm.common import components, release, small_batches, stage
 from leafwork.llm.textbytes import U, buffers, chunks, mix, words
 
 COORDINATES = 48
@@ -66,14 +65,14 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.n
     return value, np.searchsorted(doc, np.arange(rows + 1))
 
 
-def _prints(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over each set: equal for equal sets."""
-    out = []
+def _names(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set, from two sums over its members: equal for equal sets."""
+    sums = []
     with np.errstate(over="ignore"):
         for salt in (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)):
             run = np.concatenate([np.zeros(1, U), np.cumsum(mix(value ^ salt), dtype=U)])
-            out.append(run[at[1:]] - run[at[:-1]])
-    return out[0], out[1]
+            sums.append(run[at[1:]] - run[at[:-1]])
+        return mix(sums[0] * U(3) + sums[1]).view(np.int64)
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -87,7 +86,6 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
             for a, b in chunks(offsets):
                 value, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 n = np.diff(at)
-                one, two = _prints(value, at)
                 full = n > 0
                 tokens = np.zeros((b - a, COORDINATES), U)
                 if full.any():
@@ -101,8 +99,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                     sketch[:, c // 16] |= bits[:, c] << U(4 * (c % 16))
                 tokens = (tokens >> U(33)).astype(np.int32)
                 lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
-                with np.errstate(over="ignore"):
-                    name = mix(one * U(3) + two).view(np.int64)
+                name = _names(value, at)
                 yield pa.RecordBatch.from_arrays(
                     [doc_id.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(name, mask=~full), lists(sketch.view(np.int64), pa.int64()), lists(tokens, pa.int32())],
                     ["doc_id", "n_shingles", "set_id", "sketch", "tokens"],
@@ -171,18 +168,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
             raw, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
                 value, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                yield pa.RecordBatch.from_arrays([batch.column("set_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["set_id", "shingles"])
+                asked = batch.column("set_id").slice(a, b - a)
+                own = pa.RecordBatch.from_arrays([asked, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["set_id", "shingles"])
+                yield own.filter(pa.array(_names(value, at) == asked.to_numpy()))  # another text of the same doc_id is not asked for
 
     found = docs.select("doc_id", "text").join(wanted.select("set_id", "doc_id"), "doc_id")
     return found.select("set_id", "text").mapInArrow(sets, "set_id long, shingles array<bigint>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
+    """The pairs (a, b and what else they carry) whose full sets have 100 * intersection >= 75 * union."""
     x = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("xs"))
     y = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("ys"))
     both = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("xs", "ys")))
-    return both.filter("100 * i >= 75 * (size(xs) + size(ys) - i)").select("a", "b")
+    return both.filter("100 * i >= 75 * (size(xs) + size(ys) - i)").select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, rounds: int = ROUNDS) -> DataFrame:
@@ -199,9 +198,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int
     classes = stage(classes.select("set_id", "doc_id", "s.*"), "classes")
     pairs, large = candidates(classes, trees, small, levels)
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(large.select("set_id")).distinct()
-    sets = stage(full_sets(docs, classes.join(wanted, "set_id")).dropDuplicates(["set_id"]), "sets")
-    links = stage(confirm(pairs, sets), "links")
-    found = stage(components(links), "found")
+    sets = stage(full_sets(docs, classes.join(wanted, "set_id")), "sets")
+    release(docs.sparkSession)
+    found = stage(components(stage(confirm(pairs, sets), "links")), "found")
     for turn in range(rounds + 1):
         # members of nodes that are large at the last level and whose components differ
         named = large.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -211,16 +210,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int
             break
         if turn < rounds:
             fresh = mixed.filter("component <> pivot.component").withColumn("x", F.struct("set_id", "n", "sketch")).filter(_alike("x", "pivot"))
-            fresh = fresh.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b"))
+            fresh = fresh.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b"), F.col("pivot.component").alias("ca"), F.col("component").alias("cb"))
         else:  # exact for the rest: all pairs across components, joined in salted blocks
             x = mixed.select("node", F.struct("set_id", "n", "sketch", "component").alias("x"), F.expr("pmod(xxhash64(3, set_id), 16)").alias("salt"))
             y = mixed.select("node", F.struct("set_id", "n", "sketch", "component").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")).withColumn("salt", F.col("salt").cast("long"))
             fresh = x.join(y, ["node", "salt"]).filter("x.set_id < y.set_id AND x.component <> y.component").filter(_alike("x", "y"))
-            fresh = fresh.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-        fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = stage(confirm(fresh, sets), "links")
-        links = links.union(new)
-        found = stage(components(links), "found")
+            fresh = fresh.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
+        new = stage(confirm(fresh.distinct(), sets), "links")
+        large = mixed.select("node", "set_id", "n", "sketch")
+        if new.isEmpty():
+            continue
+        # new links join components; the old labels follow
+        joined = stage(components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined").withColumnRenamed("id", "old").withColumnRenamed("component", "new")
+        alone = new.select(F.col("a").alias("id"), F.col("ca").alias("component")).union(new.select("b", "cb")).distinct()
+        found = found.union(alone).distinct().join(joined, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
+        found = stage(found, "found")
     # a class's component is named by its smallest document
     label = classes.select("set_id", "doc_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
