@@ -5,10 +5,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 _WIDE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: The split pattern of byte-level BPE, and characters on whose class as space the regex engines differ.
+_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_UNSURE = re.compile("[\x1c-\x1f\x85\u180e]")
+#: The byte alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on, in order.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = dict(zip([b for b in range(256) if b not in _PLAIN], range(256, 512)))
 _HELD: dict[str, "Encoder"] = {}
 
 
@@ -27,7 +34,7 @@ class Encoder:
     are bounded and start anew when full. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, parts: int = 600_000, tokens: int = 400_000):
+    def __init__(self, path: str, parts: int = 900_000, tokens: int = 500_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         if self.tok.normalizer is not None or "ByteLevel" not in str(self.tok.pre_tokenizer):
@@ -45,14 +52,22 @@ class Encoder:
 
     def _add(self, part: str) -> int:
         """Encodes a part; its key lacks the leading space, or has \\0 in front where the text has none."""
+        whole = part[1:] if part[0:1] == "\0" else " " + part
+        if part.isalpha():
+            pieces = (whole,)
+        elif _UNSURE.search(part):
+            pieces = [whole[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(whole)]
+        else:
+            pieces = _TOKEN.findall(whole)
         ids: list[int] = []
         token = self.token
-        for t, _ in self.tok.pre_tokenizer.pre_tokenize_str(part[1:] if part[0:1] == "\0" else " " + part):
+        for t in pieces:
             known = token.get(t)
             if known is None:
                 if len(token) >= self.most[1]:
                     token.clear()
-                known = token[t] = [x.id for x in self.tok.model.tokenize(t)]
+                mapped = t.encode().decode("latin-1").translate(_ALPHABET)
+                known = token[t] = [x.id for x in self.tok.model.tokenize(mapped)]
             ids += known
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
