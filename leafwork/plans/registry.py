@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from leafwork.plans import text_queries
+from leafwork.plans import page_queries, text_queries
 from leafwork.plans.frame import literal, over_tables
 
 
 def _specs() -> dict:
-    return dict(text_queries.SPECS)
+    return text_queries.SPECS | page_queries.SPECS
 
 
 def queries() -> dict:
