@@ -172,7 +172,7 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """doc_id, key, spans (array of start, end in bytes) of docs (doc_id, key, text): what strings that start earlier cover."""
     spark = docs.sparkSession
     least_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    firsts = docs.groupBy("key").agg(F.min(least_id).alias("first"), F.max(least_id).alias("last"))
+    firsts = docs.groupBy("key").agg(F.min(least_id).alias("first"))
     names = docs.select("doc_id", "key", F.octet_length("text").alias("n")).distinct()
     named = stage(names.join(firsts, "key").withColumn("copy", least_id > F.col("first")), "names")
     whole = named.filter(f"copy AND n >= {length}").select("doc_id", "key", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"))).alias("spans"))
@@ -189,21 +189,23 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     met = stage(each.join(grams, "gram"), "met")
     discard(marked)
     release(spark)
+    spot = F.struct(least_id.alias("d"), F.col("meta").alias("m"), F.col("key").alias("k"))  # the place leads in meta
+    first = stage(met.groupBy("gram", "content", "several").agg(F.min(spot).alias("first")), "first")
+    release(spark)
+    later = met.join(first.select("gram", "content", "first"), ["gram", "content"])
+    later = later.filter((least_id != F.col("first.d")) | (F.shiftright("meta", 16) != F.shiftright("first.m", 16)))
     place = F.shiftright("meta", 16)
-    spot = F.struct(least_id.alias("d"), place.alias("p"))
-    first = met.groupBy("gram", "content").agg(F.min(spot).alias("first"), F.first("several").alias("several"), F.min(F.struct(least_id.alias("d"), place.alias("p"), "key", "meta", "doc_id")).alias("r"))
-    first = stage(first, "first")
-    later = met.join(first.select("gram", "content", "first"), ["gram", "content"]).filter(spot != F.col("first"))
-    start = place - F.expr("(meta >> 8) & 255")
-    equal = later.select("doc_id", "key", start.alias("lo"), (place - F.expr("meta & 255") + length).alias("hi"))
+    equal = stage(later.select("doc_id", "key", (place - F.expr("(meta >> 8) & 255")).alias("lo"), (place - F.expr("meta & 255") + length).alias("hi")), "equal")
+    discard(met)
+    release(spark)
     # the first slices of grams that have several, cut from their texts
-    some = first.filter("several").select("gram", "r.doc_id", "r.key", "r.meta")
+    some = first.filter("several").select("gram", F.col("first.d").alias("_d"), F.col("first.k").alias("_k"), F.col("first.m").alias("meta"))
     many = some.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
     some = some.join(many, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = some.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "meta", "hot")).alias("wanted"))  # bounded by the text
-    total = some.count()
+    wanted = some.groupBy("_d", "_k").agg(F.collect_list(F.struct("gram", "meta", "hot")).alias("wanted"))  # bounded by the text
+    total = first.filter("several").count()
     buckets = max(1, -(-total // BUCKET))
-    asked = texts.join(wanted.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "wanted"), mine("_d", "_k"))
+    asked = docs.withColumn("_o", least_id).join(wanted, (F.col("key") == F.col("_k")) & (F.col("_o") == F.col("_d"))).select("doc_id", "key", "text", "wanted")
 
     def cut(batches):
         for batch in batches:
@@ -225,10 +227,12 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
         take = pa.array(which)
         return pa.table({"doc_id": t.column("doc_id").take(take), "key": t.column("key").take(take), "lo": lo, "hi": hi})
 
-    slices = asked.mapInArrow(cut, "bucket long, doc_id long, key long, place long, most long, least long, piece binary").dropDuplicates(["bucket", "doc_id", "key", "place", "most", "least"])
+    slices = asked.mapInArrow(cut, "bucket long, doc_id long, key long, place long, most long, least long, piece binary")
     differing = slices.groupBy("bucket").applyInArrow(sort, "doc_id long, key long, lo long, hi long")
-    spans = stage(equal.union(differing), "spans")
+    differing = stage(differing, "differing")
+    discard(first)
     release(spark)
+    spans = equal.union(differing)
     parts = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))  # bounded by the text
     return parts.unionByName(whole)
 
