@@ -49,6 +49,8 @@ class Encoder:
         self.flat = np.empty(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.n = self.used = 0
+        self.fresh: list[int] = []
+        self.sizes: list[int] = []
 
     def _add(self, part: str) -> int:
         """Encodes a part; its key lacks the leading space, or has \\0 in front where the text has none."""
@@ -59,27 +61,37 @@ class Encoder:
             pieces = [whole[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(whole)]
         else:
             pieces = _TOKEN.findall(whole)
+        token, model = self.token, self.tok.model
         ids: list[int] = []
-        token = self.token
         for t in pieces:
             known = token.get(t)
             if known is None:
-                if len(token) >= self.most[1]:
-                    token.clear()
-                mapped = t.encode().decode("latin-1").translate(_ALPHABET)
-                known = token[t] = [x.id for x in self.tok.model.tokenize(mapped)]
+                mapped = t.replace(" ", "Ġ") if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(_ALPHABET)
+                known = [x.id for x in model.tokenize(mapped)]
+                if len(pieces) > 1 or len(t) < 8:  # a part of one long token is its own memo
+                    if len(token) >= self.most[1]:
+                        token.clear()
+                    token[t] = known
             ids += known
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if self.n + 2 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.empty_like(self.begin)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.fresh += ids
+        self.sizes.append(len(ids))
         at = self.part[part] = self.n
         self.n += 1
-        self.begin[self.n] = self.used
         return at
 
+    def _settle(self):
+        """Moves the ids of new parts into the arrays, all at once."""
+        if not self.sizes:
+            return
+        while self.used + len(self.fresh) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.empty_like(self.begin)])
+        self.flat[self.used : self.used + len(self.fresh)] = self.fresh
+        self.begin[self.n - len(self.sizes) + 1 : self.n + 1] = self.used + np.cumsum(self.sizes)
+        self.used += len(self.fresh)
+        self.fresh, self.sizes = [], []
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and each text's offsets among them; null is empty."""
         if self.n > self.most[0]:
@@ -101,6 +113,7 @@ class Encoder:
             counts.append(len(found))
         if not rows:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        self._settle()
         k = np.array(rows, np.int64)
         size = self.begin[k + 1] - self.begin[k]
         ends = np.cumsum(size)
