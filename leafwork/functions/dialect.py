@@ -122,6 +122,16 @@ class Dialect:
     def double(self, x: str) -> str:
         return f"CAST({x} AS DOUBLE)"
 
+    def once(self, source: str, **columns: str) -> str:
+        """source with more columns that are worked out once.
+
+        Spark pushes a filter below the projection that makes its columns and writes their expressions into it, over and
+        over; rows of a generator are a line it doesn't cross. With one element for each row, the generator adds none.
+        """
+        if not self.spark:
+            return f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM ({source}) AS once_"
+        return f"SELECT once_.*, {', '.join(columns)} FROM ({source}) AS once_ LATERAL VIEW inline(array(struct({', '.join(columns.values())}))) made_ AS {', '.join(columns)}"
+
     def total(self, terms: list[tuple[str, str]]) -> str:
         """Sum of the values whose condition holds."""
         return "(" + " + ".join(f"CASE WHEN {c} THEN {v} ELSE 0 END" for c, v in terms) + ")"

@@ -22,10 +22,14 @@ def words(d: Dialect, t: str) -> str:
     return d.keep(d.split(t, f"{S}+"), "s", "s <> ''")
 
 
+def word_count(d: Dialect, t: str) -> str:
+    return d.count(t, f"[^{S_IN}]+")
+
+
 def stopword_ratio(d: Dialect, t: str) -> str:
-    own = words(d, f"lower({t})")
-    stops = d.keep(own, "s", d.member("s", STOPWORDS))
-    return f"CASE WHEN {d.size(own)} = 0 THEN {d.double('0')} ELSE {d.double(d.size(stops))} / {d.size(own)} END"
+    """Share of stop words; each word stands between two spaces of its own, so that matches don't overlap."""
+    spaced = f"concat('  ', {d.sub(f'lower({t})', f'{S}+', '  ')}, '  ')"
+    return f"CASE WHEN {word_count(d, t)} = 0 THEN {d.double('0')} ELSE {d.double(d.count(spaced, ' (' + '|'.join(STOPWORDS) + ') '))} / {word_count(d, t)} END"
 
 
 def has_section(d: Dialect, t: str) -> str:
@@ -90,17 +94,23 @@ def balanced_terms(d: Dialect, t: str, size: str, bold: str, body: str, before:
     ]
 
 
-def accurate_terms(d: Dialect, t: str, size: str, bold: str, body: str, before: str, after: str, y: str) -> list[tuple[str, int, str]]:
-    ratio, own = stopword_ratio(d, t), words(d, t)
-    lettered = d.size(d.keep(own, "s", d.has("s", r"\p{L}")))
+def accurate_terms(d: Dialect, t: str, size: str, bold: str, body: str, before: str, after: str, y: str, ratio: str | None = None) -> list[tuple[str, int, str]]:
+    """ratio: a column that holds stopword_ratio, if there is one."""
+    ratio = ratio or stopword_ratio(d, t)
+    lettered = d.count(t, rf"[^{S_IN}]*\p{{L}}[^{S_IN}]*")
     return [
         *balanced_terms(d, t, size, bold, body, before, after), (f"{ratio} > 0.35", -2, "stop words"), (f"{ratio} < 0.15", 1, "few stop words"),
         (f"length({t}) BETWEEN 10 AND 60", 1, "good length"), (f"length({t}) < 3", -3, "too short"), (code_like(d, t), -5, "header code"), (f"{d.times(t, '.')} > 1", -1, "full stops"),
-        (f"{d.last(t)} = ':'", 1, "ends with a colon"), (f"{y} < 0.15", 1, "top of page"), (like_formula(d, t), -2, "like a formula"), (f"{d.size(own)} > 15", -1, "many words"),
+        (f"{d.last(t)} = ':'", 1, "ends with a colon"), (f"{y} < 0.15", 1, "top of page"), (like_formula(d, t), -2, "like a formula"), (f"{word_count(d, t)} > 15", -1, "many words"),
         (d.has(f"replace(replace(replace({t}, ' ', ''), '.', ''), ',', '')", r"^\d+\z"), -5, "numbers only"), (f"{lettered} < 2 AND NOT {has_section(d, t)}", -1, "few words"),
     ]
 
 
+def marks(terms: list[tuple[str, int, str]]) -> tuple[str, list[tuple[str, int, str]]]:
+    """Columns k0, k1.. of the conditions, and the terms over these columns: each condition is worked out once."""
+    return ", ".join(f"coalesce({c}, FALSE) AS k{i}" for i, (c, _, _) in enumerate(terms)), [(f"k{i}", p, r) for i, (_, p, r) in enumerate(terms)]
+
+
 def points(d: Dialect, t: str, terms: list[tuple[str, int, str]]) -> str:
     """The sum of the points, -10 for text that can't head anything."""
     return f"CASE WHEN NOT {valid_text(d, t)} THEN -10 ELSE {d.total([(c, str(p)) for c, p, _ in terms])} END"

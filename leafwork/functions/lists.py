@@ -60,25 +60,30 @@ def list_markdown(d: Dialect, t: str, kind: str, mark: str, content: str, level:
 INLINE = rf"([^:]+):{S}{{2,}}([^;]+(;{S}{{2,}}[^;]+)+;?){S}*\z"
 
 
+def _inline(d: Dialect, x: str) -> str:
+    """Whether INLINE is found in x. Its marks are looked for first: the pattern alone tries every start in a long text."""
+    return f"(contains({x}, ':') AND contains({x}, ';') AND {d.has(x, rf':{S}{{2,}}[^;]+;{S}{{2,}}')} AND {d.has(x, INLINE)})"
+
+
 def has_inline_list(d: Dialect, x: str) -> str:
-    return f"(length({x}) >= 20 AND ({d.has(x, INLINE)} OR ({d.times(x, ';')} >= 3 AND {d.count(x, rf'{S}{{2,}}[^;]+;')} >= 2)))"
+    return f"(length({x}) >= 20 AND ({_inline(d, x)} OR ({d.times(x, ';')} >= 3 AND {d.count(x, rf'{S}{{2,}}[^;]+;')} >= 2)))"
 
 
 def inline_parts(d: Dialect, x: str) -> tuple[str, str]:
-    """(intro, items) of text with a list in it; no items where it can't be split."""
+    """(intro, items) of text with a list in it (has_inline_list); else the text and no items."""
     filled = lambda items: d.keep(d.each(items, "s", d.strip("s")), "s", "s <> ''")
     rest = d.strip(f"substr({x}, instr({x}, ':') + 1)")
     loose = filled(d.each(d.split(rest, rf"{S}{{2,}}"), "s", d.sub(d.strip("s"), r";+\z")))
     close = filled(d.split(d.group(x, INLINE, 2), rf";{S}*"))
     empty = "CAST(array() AS ARRAY<STRING>)" if d.spark else "CAST([] AS VARCHAR[])"
-    plain = f"CASE WHEN instr({x}, ':') > 1 AND {d.size(loose)} >= 2 THEN {loose} ELSE {empty} END"
-    intro = f"CASE WHEN {d.has(x, INLINE)} THEN {d.strip(d.group(x, INLINE))} WHEN instr({x}, ':') > 1 AND {d.size(loose)} >= 2 THEN {d.strip(f'substr({x}, 1, instr({x}, chr(58)) - 1)')} ELSE {x} END"
-    return intro, f"CASE WHEN {d.has(x, INLINE)} THEN {close} ELSE {plain} END"
+    split = f"{has_inline_list(d, x)} AND instr({x}, ':') > 1 AND {d.size(loose)} >= 2"
+    intro = f"CASE WHEN {_inline(d, x)} THEN {d.strip(d.group(x, INLINE))} WHEN {split} THEN {d.strip(f'substr({x}, 1, instr({x}, chr(58)) - 1)')} ELSE {x} END"
+    return intro, f"CASE WHEN {_inline(d, x)} THEN {close} WHEN {split} THEN {loose} ELSE {empty} END"
 
 
-def inline_markdown(d: Dialect, x: str, intro: str, items: str) -> str:
+def inline_markdown(d: Dialect, x: str, intro: str, items: str, listed: str | None = None) -> str:
     """Lines of a paragraph: its intro, a blank line and an item a line where it holds a list, else the text."""
     nl = d.newline()
     lines = d.each(items, "s", "concat('- ', s)")
     joined = f"array_join({lines}, {nl})" if d.spark else f"array_to_string({lines}, {nl})"
-    return f"CASE WHEN {has_inline_list(d, x)} AND {d.size(items)} >= 2 THEN concat(CASE WHEN {intro} <> '' THEN concat({intro}, ':', {nl}, {nl}) ELSE '' END, {joined}) ELSE {x} END"
+    return f"CASE WHEN {listed or has_inline_list(d, x)} AND {d.size(items)} >= 2 THEN concat(CASE WHEN {intro} <> '' THEN concat({intro}, ':', {nl}, {nl}) ELSE '' END, {joined}) ELSE {x} END"

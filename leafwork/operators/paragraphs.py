@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from leafwork.functions import lists, text as T
 from leafwork.functions.dialect import Dialect, S
-from leafwork.functions.headings import words
+from leafwork.functions.headings import word_count
 from leafwork.plans.frame import apply
 
 _PAGE = "PARTITION BY doc_id, page_num ORDER BY block_idx"
@@ -22,7 +22,7 @@ def without_repeats(d: Dialect, blocks: str, scope: str = "document") -> str:
 
     scope "page" judges each page alone, as the service does: no text then repeats often enough.
     """
-    keyed = f"SELECT *, {T.repeat_key(d, 'text')} AS repeat_key FROM ({blocks}) AS k0"
+    keyed = d.once(blocks, repeat_key=T.repeat_key(d, "text"))
     if scope == "page":
         return f"SELECT * FROM ({keyed}) AS k WHERE NOT {T.is_page_furniture(d, 'text')}"
     pages = f"SELECT doc_id AS pd, count(DISTINCT page_num) AS pages FROM ({blocks}) AS p0 GROUP BY doc_id"
@@ -34,11 +34,11 @@ def without_repeats(d: Dialect, blocks: str, scope: str = "document") -> str:
 
 def marked(d: Dialect, blocks: str, scope: str = "document") -> str:
     """Cleaned blocks with kind: item, more (of an item), heading, bold or plain, and brk: a plain one that starts anew."""
-    clean = f"SELECT *, {T.clean_text(d, 'text')} AS cleaned FROM ({without_repeats(d, blocks, scope)}) AS w"
-    t = f"SELECT doc_id, page_num, block_idx, font_size, bold, {T.clean_artifacts(d, 'cleaned')} AS t FROM ({clean}) AS c"
+    clean = d.once(without_repeats(d, blocks, scope), cleaned=T.clean_text(d, "text"))
+    t = f"SELECT doc_id, page_num, block_idx, font_size, bold, t FROM ({d.once(clean, t=T.clean_artifacts(d, 'cleaned'))}) AS c"
     t = f"SELECT * FROM ({t}) AS t0 WHERE t <> '' AND NOT {T.is_garbage(d, 't')}"
-    flags = f"SELECT *, {lists.is_list_item(d, 't')} AS item, {T.is_heading_candidate(d, 't', 'font_size')} AS heading FROM ({t}) AS t1"
-    soft = f"length(t) < 60 AND ({d.is_lower(d.first('t'))} OR {d.size(words(d, 't'))} <= 2 OR {d.last('t')} = ';') AND NOT heading"
+    flags = d.once(t, item=lists.is_list_item(d, "t"), heading=T.is_heading_candidate(d, "t", "font_size"))
+    soft = f"length(t) < 60 AND ({d.is_lower(d.first('t'))} OR {word_count(d, 't')} <= 2 OR {d.last('t')} = ';') AND NOT heading"
     flags = f"SELECT *, NOT item AND {soft} AS soft, lag(font_size) OVER ({_PAGE}) AS size_before, lag(t) OVER ({_PAGE}) AS t_before FROM ({flags}) AS t2"
     runs = f"SELECT *, sum(CASE WHEN item OR soft THEN 0 ELSE 1 END) OVER ({_PAGE}) AS run FROM ({flags}) AS t3"
     listed = f"SELECT *, coalesce(max(CASE WHEN item THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num, run ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS listed FROM ({runs}) AS t4"
@@ -53,7 +53,7 @@ def units(d: Dialect, blocks: str, scope: str = "document") -> str:
     start = "CASE WHEN kind IN ('item', 'heading') OR kind_before IS NULL OR (kind IN ('bold', 'plain') AND (kind_before NOT IN ('bold', 'plain') OR brk)) THEN 1 ELSE 0 END"
     numbered = f"SELECT *, sum({start}) OVER ({_PAGE}) AS unit FROM ({marked(d, blocks, scope)}) AS m"
     k, m, c = lists.list_parts(d, "t")
-    typed = f"SELECT *, {k} AS lk, {m} AS lm, {c} AS lc, {T.heading_level(d, 't', 'font_size')} AS level FROM ({numbered}) AS n"
+    typed = d.once(numbered, lk=k, lm=m, lc=c, level=T.heading_level(d, "t", "font_size"))
     part = (
         f"CASE kind WHEN 'item' THEN {lists.list_markdown(d, 't', 'lk', 'lm', 'lc')} WHEN 'heading' THEN CASE WHEN level > 0 THEN concat(repeat('#', level), ' ', t) ELSE concat('**', t, '**') END"
         " WHEN 'bold' THEN concat('**', t, '**') ELSE t END"
@@ -69,10 +69,12 @@ def page_markdown(d: Dialect, blocks: str, scope: str = "document") -> str:
     """doc_id, page_num, body: the page's Markdown lines; a blank line ends a list, a list within a line becomes one."""
     k, m, c = lists.list_parts(d, "body")
     intro, items = lists.inline_parts(d, "body")
-    split = f"SELECT *, {intro} AS intro, {items} AS items, {k} AS lk, {m} AS lm, {c} AS lc, lead(kind) OVER (PARTITION BY doc_id, page_num ORDER BY unit) AS kind_after FROM ({units(d, blocks, scope)}) AS u"
+    listed = d.once(units(d, blocks, scope), has_list=lists.has_inline_list(d, "body"))
+    parts = d.once(listed, intro=f"CASE WHEN has_list THEN {intro} ELSE body END", items=f"CASE WHEN has_list THEN {items} END", lk=k, lm=m, lc=c)
+    split = f"SELECT *, lead(kind) OVER (PARTITION BY doc_id, page_num ORDER BY unit) AS kind_after FROM ({parts}) AS u"
     body = (
         f"CASE WHEN kind = 'item' THEN CASE WHEN coalesce(kind_after, '') = 'item' THEN body ELSE concat(body, {d.newline()}) END"
-        f" WHEN kind = 'text' AND {lists.has_inline_list(d, 'body')} THEN CASE WHEN {lists.is_list_item(d, 'body')} THEN {lists.list_markdown(d, 'body', 'lk', 'lm', 'lc')} ELSE {lists.inline_markdown(d, 'body', 'intro', 'items')} END ELSE body END"
+        f" WHEN kind = 'text' AND has_list THEN CASE WHEN {lists.is_list_item(d, 'body')} THEN {lists.list_markdown(d, 'body', 'lk', 'lm', 'lc')} ELSE {lists.inline_markdown(d, 'body', 'intro', 'items', 'has_list')} END ELSE body END"
     )
     lined = f"SELECT doc_id, page_num, unit, {body} AS line FROM ({split}) AS s"
     return f"SELECT doc_id, page_num, {d.gather('line', 'unit', d.newline())} AS body FROM ({lined}) AS l GROUP BY doc_id, page_num"

@@ -68,8 +68,12 @@ def scored(d: Dialect, strategy: str, source: str) -> str:
     base = ("text", "font_size", "bold", "body")
     terms = {
         "fast": lambda: H.fast_terms(d, *base), "balanced": lambda: H.balanced_terms(d, *base, "size_before", "size_after"),
-        "accurate": lambda: H.accurate_terms(d, *base, "size_before", "size_after", "y_ratio"),
+        "accurate": lambda: H.accurate_terms(d, *base, "size_before", "size_after", "y_ratio", "stops"),
     }[strategy]()
+    if strategy == "accurate":
+        near = f"SELECT *, {H.stopword_ratio(d, 'text')} AS stops FROM ({near}) AS e5"
+    columns, terms = H.marks(terms)
+    near = f"SELECT *, {columns} FROM ({near}) AS e4"
     return f"SELECT *, score >= 4 AS is_heading FROM (SELECT *, {H.points(d, 'text', terms)} AS score, {H.reasons(d, terms)} AS reasons FROM ({near}) AS e2) AS e3"
 
 

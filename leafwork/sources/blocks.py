@@ -43,9 +43,10 @@ def blocks(d: Dialect, source: str | None = None) -> str:
     """
     source = source or f"{lines(d)} UNION ALL {fixture(d)}"
     div = "CAST(floor(i / 40.0) AS INT)"
+    named = d.once(source, text=d.strip("raw"))
     return (
-        f"SELECT * FROM (SELECT doc_id, {div} + 1 AS page_num, i AS block_idx, {d.strip('raw')} AS text, raw, CASE WHEN i = 0 THEN {d.double('24')} WHEN i % 30 = 0 THEN {d.double('20')} WHEN i % 10 = 0 THEN {d.double('16')} ELSE {d.double('12')} END AS font_size,"
-        f" CASE WHEN i % 20 = 0 THEN 16 ELSE 0 END AS font_flags, i % 20 = 0 AS bold, (i % 100) / {d.double('100')} AS y_ratio FROM ({source}) AS lines) AS b WHERE text <> ''"
+        f"SELECT doc_id, {div} + 1 AS page_num, i AS block_idx, text, raw, CASE WHEN i = 0 THEN {d.double('24')} WHEN i % 30 = 0 THEN {d.double('20')} WHEN i % 10 = 0 THEN {d.double('16')} ELSE {d.double('12')} END AS font_size,"
+        f" CASE WHEN i % 20 = 0 THEN 16 ELSE 0 END AS font_flags, i % 20 = 0 AS bold, (i % 100) / {d.double('100')} AS y_ratio FROM ({named}) AS b WHERE text <> ''"
     )
 
 
