@@ -5,6 +5,8 @@ from __future__ import annotations
 from leafwork.functions import headings as H
 from leafwork.functions.dialect import Dialect
 from leafwork.operators import formulas as M, geometry as G, images as I, integrity as R, paragraphs
+from leafwork.operators.merging import merge_fragments
+from leafwork.plans.frame import over_tables
 from leafwork.sources.blocks import blocks
 
 
@@ -151,3 +153,17 @@ SPECS = {
     "region_merge": _regions,
     "model_for_ram": lambda d: f"SELECT doc_id, {M.model_for_memory(d, 'doc_id % 20')} AS model FROM @documents@",
 }
+
+
+def page_lines(spark, sf_dir: str):
+    """Words gathered into lines; a sequential pass over each page, which SQL does not express."""
+    return G.lines(over_tables(_words)(spark, sf_dir))
+
+
+def merged_fragments(spark, sf_dir: str):
+    """Words of each page merged as formula fragments; a sequential pass over each page."""
+    return merge_fragments(over_tables(_words)(spark, sf_dir).drop("font_size"))
+
+
+#: Queries without an oracle: their goldens are in the tests.
+EXTRA = {"page_lines": page_lines, "merged_fragments": merged_fragments}

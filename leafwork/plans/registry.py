@@ -11,7 +11,7 @@ def _specs() -> dict:
 
 
 def queries() -> dict:
-    return {name: over_tables(spec) for name, spec in _specs().items()}
+    return {name: over_tables(spec) for name, spec in _specs().items()} | page_queries.EXTRA
 
 
 def oracle_sql() -> dict[str, str]:
