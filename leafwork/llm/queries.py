@@ -77,5 +77,28 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+#: The mix in closed form: capped sources are the first by cap and weight, and the blocks tile a prefix of each stream.
+OP9_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+n AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM s GROUP BY source),
+w AS (SELECT source, n, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w FROM n),
+r AS (
+  SELECT source, n, w, 2.0 * CAST(n AS DOUBLE) AS cap, CAST(1.5 AS DOUBLE) * sum(n) OVER () AS total, row_number() OVER o AS k,
+    coalesce(sum(2.0 * CAST(n AS DOUBLE)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken_before, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest
+  FROM w WINDOW o AS (ORDER BY 2.0 * CAST(n AS DOUBLE) / w, source NULLS LAST)
+),
+f AS (SELECT total - taken_before AS left_over, w_rest AS open_weight FROM r WHERE (total - taken_before) * w / w_rest <= cap ORDER BY k LIMIT 1),
+t AS (SELECT source, n, least(cap, left_over * w / open_weight) AS target FROM r, f),
+p AS (
+  SELECT s.doc_id, s.size, t.n AS source_size, t.target, CAST(floor(t.target) AS BIGINT) AS goal,
+    CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY substr(md5('9:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 15), s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  greatest(0, least(place + size, goal) - place) + greatest(0, least(place + source_size + size, goal) - (place + source_size)) AS taken
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_schedule": OP9_SQL}
