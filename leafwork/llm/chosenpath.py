@@ -3,9 +3,10 @@
 A set of word shingles is reduced to COORDINATES minwise tokens. A tree starts with all sets in one node; a node picks
 one coordinate, and at times a second (4/3 on average, the inverse of the threshold), by its own name, and hands each
 set to the child named by the set's token there. A node of at most SMALL sets is compared exhaustively and ends. A
-larger one compares its sets with one pivot and branches on. Independent trees bring the recall to the target: a pair
-of similarity 0.75 shares a first child in one of 18 trees but for 0.25 ** 18. Nodes that are still large at the last
-level have their members joined by rounds of pivots and, what is left, by all pairs that lie in different components.
+larger one compares its sets with one pivot and branches on; from level LEVELS on only where it holds sets of different
+components. Independent trees bring the recall to the target: a pair of similarity 0.75 shares a first child in one of
+18 trees but for 0.25 ** 18. What is still large and mixed after ROUNDS more levels is compared in all pairs that lie
+in different components.
 Pairs are screened by 192 bits of the minwise tokens (a true pair fails by chance once in 100,000) and confirmed on
 full sets. Equal sets are one class throughout, so copies cost nothing, and no step gathers a large node in a task.
 """
@@ -23,7 +24,7 @@ COORDINATES = 48
 TREES = 18
 SMALL = 24
 LEVELS = 5
-ROUNDS = 4
+ROUNDS = 8
 SCREEN = 24  # of 48 tokens that agree in four bits; a pair of similarity 0.75 has 36.8 on average, deviation 2.9
 _RNG = np.random.default_rng(75)
 _STEP = _RNG.integers(1, 1 << 63, COORDINATES, dtype=U) | U(1)
@@ -109,7 +110,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, kind)
 
 
-def _alike(a: str, b: str) -> F.Column:
+def _alike_sql(a: str, b: str) -> str:
     """Whether two sketches agree in enough places and the sets' sizes allow the similarity."""
     parts = []
     for k in range(COORDINATES // 16):
@@ -117,7 +118,17 @@ def _alike(a: str, b: str) -> F.Column:
         y = f"({x} | shiftrightunsigned({x}, 1))"
         parts.append(f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {0x1111111111111111}L)")
     size = f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * 75"
-    return F.expr(f"{size} AND {' + '.join(parts)} <= {COORDINATES - SCREEN}")
+    return f"({size} AND {' + '.join(parts)} <= {COORDINATES - SCREEN})"
+
+
+def _alike(a: str, b: str) -> F.Column:
+    return F.expr(_alike_sql(a, b))
+
+
+def _pairs_within(rows: DataFrame, fields: list[str], also: str = "true") -> DataFrame:
+    """x, y of the screened pairs within each node of at most SMALL rows; pairs that fail are never made rows of their own."""
+    met = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("m")).select(F.posexplode("m").alias("i", "x"), "m")
+    return met.select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), y -> {also} AND {_alike_sql('x', 'y')})")).alias("y"))
 
 
 _ROW = "set_id, n, sketch"
@@ -134,7 +145,7 @@ def _branch(rows: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """Screened pairs (a, b) of set ids, and (node, set_id, n, sketch) of the nodes that are large at the last level."""
+    """Screened pairs (a, b) of set ids, and (node, set_id, n, sketch, tokens) of the nodes that are large at the last level."""
     # the root of tree t picks its own coordinates, so that the trees' first levels differ
     step = COORDINATES // trees if trees <= COORDINATES else 1
     rows = classes.selectExpr(
@@ -144,9 +155,8 @@ def candidates(classes: DataFrame, trees: int = TREES, small: int = SMALL, level
     for level in range(levels):
         counts = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct("set_id", "n", "sketch")).alias("pivot")).filter("members > 1")
         met = stage(rows.join(counts, "node"), f"level{level}")
-        few = met.filter(F.col("members") <= small).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("set_id", "n", "sketch"))).alias("m"))
-        few = few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
-        pairs.append(few.filter(_alike("x", "y")).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
+        few = _pairs_within(met.filter(F.col("members") <= small), ["set_id", "n", "sketch"])
+        pairs.append(few.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
         large = met.filter(F.col("members") > small)
         starred = large.withColumn("x", F.struct("set_id", "n", "sketch")).filter("set_id <> pivot.set_id").filter(_alike("x", "pivot"))
         pairs.append(starred.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b")))
@@ -157,7 +167,7 @@ def candidates(classes: DataFrame, trees: int = TREES, small: int = SMALL, level
     for p in pairs[1:]:
         out = out.union(p)
     out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return stage(out, "pairs"), large.select("node", "set_id", "n", "sketch")
+    return stage(out, "pairs"), large.select("node", "set_id", "n", "sketch", "tokens")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
@@ -202,22 +212,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int
     release(docs.sparkSession)
     found = stage(components(stage(confirm(pairs, sets), "links")), "found")
     for turn in range(rounds + 1):
-        # members of nodes that are large at the last level and whose components differ
-        named = large.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        mixed = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "set_id"), "component", "set_id", "n", "sketch")).alias("pivot")).filter("lo <> hi")
+        # nodes that hold several components; the pivot is in most nodes, as the middle of a group of near copies is
+        weight = large.groupBy("set_id").agg(F.count("*").alias("weight"))
+        named = large.join(weight, "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        best = F.min(F.struct(-F.col("weight"), F.xxhash64(F.lit(turn), "set_id"), "component", "set_id", "n", "sketch")).alias("pivot")
+        mixed = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), best).filter("lo <> hi")
         mixed = stage(named.join(mixed, "node"), "mixed")
         if mixed.isEmpty():
             break
+        ends = lambda df: df.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
+        fields = ["set_id", "n", "sketch", "component"]
         if turn < rounds:
-            fresh = mixed.filter("component <> pivot.component").withColumn("x", F.struct("set_id", "n", "sketch")).filter(_alike("x", "pivot"))
-            fresh = fresh.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b"), F.col("pivot.component").alias("ca"), F.col("component").alias("cb"))
+            many = mixed.filter(F.col("members") > small)
+            few = ends(_pairs_within(mixed.filter(F.col("members") <= small), fields, "x.component <> y.component"))
+            star = many.filter("component <> pivot.component").select(F.struct(*fields).alias("y"), F.col("pivot").alias("x")).filter(_alike("x", "y"))
+            fresh = few.union(ends(star))
+            large = _branch(many)
         else:  # exact for the rest: all pairs across components, joined in salted blocks
-            x = mixed.select("node", F.struct("set_id", "n", "sketch", "component").alias("x"), F.expr("pmod(xxhash64(3, set_id), 16)").alias("salt"))
-            y = mixed.select("node", F.struct("set_id", "n", "sketch", "component").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")).withColumn("salt", F.col("salt").cast("long"))
-            fresh = x.join(y, ["node", "salt"]).filter("x.set_id < y.set_id AND x.component <> y.component").filter(_alike("x", "y"))
-            fresh = fresh.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
+            x = mixed.select("node", F.struct(*fields).alias("x"), F.expr("pmod(xxhash64(3, set_id), 16)").alias("salt"))
+            y = mixed.select("node", F.struct(*fields).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")).withColumn("salt", F.col("salt").cast("long"))
+            fresh = ends(x.join(y, ["node", "salt"]).filter("x.set_id < y.set_id AND x.component <> y.component").filter(_alike("x", "y")))
+        fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, ca, cb)").alias("ca"), F.expr("if(a < b, cb, ca)").alias("cb"))
         new = stage(confirm(fresh.distinct(), sets), "links")
-        large = mixed.select("node", "set_id", "n", "sketch")
         if new.isEmpty():
             continue
         # new links join components; the old labels follow
