@@ -12,7 +12,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from leafwork.llm.common import small_batches, stage
 from leafwork.llm.vectors import dots, main_dimension, matrix, usable
@@ -191,9 +190,9 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAM
     right = asked.join(size, "part").selectExpr("part", "explode(sequence(0, blocks - 1)) AS block", "int(pmod(xxhash64(2, vec_id), turns)) AS turn", "vec_id", "vector")
 
     def rank(near: pa.Table, query: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not near.num_rows or not query.num_rows:
-            return pa.table(empty)
+            kind = pa.list_(pa.struct([("worse", pa.float64()), ("vec_id", pa.int64())]))
+            return pa.table({"query_id": pa.array([], pa.int64()), "best": pa.array([], kind)})
         ids = near.column("vec_id").to_numpy()
         data = near.column("vector").to_pylist()
         order = np.argsort(ids, kind="stable")
@@ -222,10 +221,16 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAM
             place = np.arange(len(a)) - np.searchsorted(a, a)
             ok = place < top
             out[0].append(qid[s + a[ok]]), out[1].append(ids[b[ok]]), out[2].append(score[ok])
-        return pa.table({k: np.concatenate(v) for k, v in zip(empty, out)})
+        ask, own, score = (np.concatenate(v) for v in out)
+        at = np.flatnonzero(np.concatenate([[True], ask[1:] != ask[:-1]])) if len(ask) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(at, len(ask)), pa.int32())
+        best = pa.StructArray.from_arrays([pa.array(-score), pa.array(own, pa.int64())], ["worse", "vec_id"])
+        return pa.table({"query_id": pa.array(ask[at], pa.int64()), "best": pa.ListArray.from_arrays(ends, best)})
 
     keys = ["part", "block", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return best.select("query_id", "rank", "vec_id", "score")
+    kind = "query_id long, best array<struct<worse: double, vec_id: bigint>>"
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, kind)
+    # a row for each query and block; a query's lists, `top` long each, are merged in one
+    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, top).alias("best"))
+    each = merged.select("query_id", F.posexplode("best").alias("rank", "b"))
+    return each.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.worse")).alias("score"))
