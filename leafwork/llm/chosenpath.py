@@ -3,10 +3,10 @@
 A set of word shingles is reduced to COORDINATES minwise tokens. A tree starts with all sets in one node; a node picks
 one coordinate, and at times a second (4/3 on average, the inverse of the threshold), by its own name, and hands each
 set to the child named by the set's token there. A node of at most SMALL sets is compared exhaustively and ends. A
-larger one compares its sets with one pivot and branches on; from level LEVELS on only where it holds sets of different
-components. Independent trees bring the recall to the target: a pair of similarity 0.75 shares a first child in one of
-18 trees but for 0.25 ** 18. What is still large and mixed after ROUNDS more levels is compared in all pairs that lie
-in different components.
+larger one compares its sets with one pivot and branches on. Independent trees bring the recall to the target: a pair
+of similarity 0.75 shares a first child in one of 18 trees but for 0.25 ** 18. At level LEVELS branching stops: the
+nodes that are still large and hold sets of different components are kept whole, joined by ROUNDS of pivots, and what is
+left is compared in all pairs that lie in different components.
 Pairs are screened by 192 bits of the minwise tokens (a true pair fails by chance once in 100,000) and confirmed on
 full sets. Equal sets are one class throughout, so copies cost nothing, and no step gathers a large node in a task.
 """
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafwork.llm.common import components, release, small_batches, stage
+from leafwork.llm.common import components, discard, release, small_batches, stage
 from leafwork.llm.textbytes import U, buffers, chunks, mix, words
 
 COORDINATES = 48
@@ -131,6 +131,16 @@ def _pairs_within(rows: DataFrame, fields: list[str], also: str = "true") -> Dat
     return met.select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), y -> {also} AND {_alike_sql('x', 'y')})")).alias("y"))
 
 
+def _pairs_across(rows: DataFrame, fields: list[str], block: int = 64, salts: int = 16) -> DataFrame:
+    """x, y of all screened pairs of a node's rows (node, members, fields) in different components; blocks of rows meet in salted joins."""
+    own = rows.withColumn("block", F.expr(f"pmod(xxhash64(3, set_id), ceil(members / {block}))")).groupBy("node", "block").agg(F.collect_list(F.struct(*fields)).alias("m"))
+    x = own.select("node", F.col("block").alias("i"), F.col("m").alias("xs"), F.expr(f"pmod(block, {salts})").cast("int").alias("salt"))
+    y = own.select("node", F.col("block").alias("j"), F.col("m").alias("ys"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    ok = f"(i < j OR x.set_id < y.set_id) AND x.component <> y.component AND {_alike_sql('x', 'y')}"
+    pairs = F.expr(f"inline(flatten(transform(xs, x -> transform(filter(ys, y -> {ok}), y -> struct(x AS x, y AS y)))))")
+    return x.join(y, ["node", "salt"]).filter("i <= j").select(pairs)
+
+
 _ROW = "set_id, n, sketch"
 
 
@@ -211,27 +221,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int
     sets = stage(full_sets(docs, classes.join(wanted, "set_id")), "sets")
     release(docs.sparkSession)
     found = stage(components(stage(confirm(pairs, sets), "links")), "found")
+    weight = large.groupBy("set_id").agg(F.count("*").alias("weight"))
+    large = large.select("node", "set_id", "n", "sketch").join(weight, "set_id")
+    last = None
     for turn in range(rounds + 1):
-        # nodes that hold several components; the pivot is in most nodes, as the middle of a group of near copies is
-        weight = large.groupBy("set_id").agg(F.count("*").alias("weight"))
-        named = large.join(weight, "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        best = F.min(F.struct(-F.col("weight"), F.xxhash64(F.lit(turn), "set_id"), "component", "set_id", "n", "sketch")).alias("pivot")
+        # nodes that hold several components; the first pivot is in most nodes, as the middle of a group of near copies is
+        named = large.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        best = F.min(F.struct(-F.col("weight") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "set_id"), "component", "set_id", "n", "sketch")).alias("pivot")
         mixed = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), best).filter("lo <> hi")
         mixed = stage(named.join(mixed, "node"), "mixed")
+        if last is not None:
+            discard(last)
         if mixed.isEmpty():
             break
-        ends = lambda df: df.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
         fields = ["set_id", "n", "sketch", "component"]
         if turn < rounds:
-            many = mixed.filter(F.col("members") > small)
-            few = ends(_pairs_within(mixed.filter(F.col("members") <= small), fields, "x.component <> y.component"))
-            star = many.filter("component <> pivot.component").select(F.struct(*fields).alias("y"), F.col("pivot").alias("x")).filter(_alike("x", "y"))
-            fresh = few.union(ends(star))
-            large = _branch(many)
-        else:  # exact for the rest: all pairs across components, joined in salted blocks
-            x = mixed.select("node", F.struct(*fields).alias("x"), F.expr("pmod(xxhash64(3, set_id), 16)").alias("salt"))
-            y = mixed.select("node", F.struct(*fields).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")).withColumn("salt", F.col("salt").cast("long"))
-            fresh = ends(x.join(y, ["node", "salt"]).filter("x.set_id < y.set_id AND x.component <> y.component").filter(_alike("x", "y")))
+            fresh = mixed.filter("component <> pivot.component").select(F.struct(*fields).alias("y"), F.col("pivot").alias("x")).filter(_alike("x", "y"))
+        else:
+            fresh = _pairs_across(mixed, fields)
+        large, last = mixed.select("node", "set_id", "n", "sketch", "weight"), mixed  # whole: a member leaves only with its node
+        fresh = fresh.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
         fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, ca, cb)").alias("ca"), F.expr("if(a < b, cb, ca)").alias("cb"))
         new = stage(confirm(fresh.distinct(), sets), "links")
         if new.isEmpty():

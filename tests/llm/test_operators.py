@@ -139,6 +139,37 @@ def test_near_duplicates(spark, odd, options):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def _crowd(pairs=120, seed=5, words=200):
+    """Sets that all share a base without being linked, and one partner of each at a similarity just above 0.75."""
+    rng, out = random.Random(seed), []
+    base = [f"b{i}" for i in range(words)]
+
+    def similarity(a, b):
+        a, b = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    for p in range(pairs):
+        own = list(base)
+        while similarity(own, base) > 0.62:
+            own[rng.randrange(words)] = f"o{p}_{rng.random()}"
+        twin = list(own)
+        while True:
+            after = list(twin)
+            after[rng.randrange(words)] = f"t{p}_{rng.random()}"
+            if similarity(own, after) < 0.75:
+                break
+            twin = after
+        out += [(2 * p, " ".join(own)), (2 * p + 1, " ".join(twin))]
+    return out
+
+
+def test_near_duplicates_in_a_crowded_node(spark):
+    """Pairs at the threshold stay together where branching stops: nothing is lost after the first level."""
+    df = spark.createDataFrame(_crowd(), "doc_id long, text string")
+    got = chosenpath.near_duplicates(df, trees=6, small=4, levels=1).collect()
+    assert [r.doc_id for r in got if r.component_id != r.doc_id - r.doc_id % 2] == []
+
+
 def test_near_duplicates_of_nothing(spark, odd):
     assert chosenpath.near_duplicates(odd.limit(0)).collect() == []
 
