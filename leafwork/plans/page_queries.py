@@ -39,7 +39,7 @@ def _words(d: Dialect) -> str:
         (-2, 1, 0, "a+b", 0, 100, 30, 115, 12), (-2, 1, 1, "c+d", 0, 130, 30, 145, 12), (-3, 1, 0, "x", 0, 100, 8, 115, 12), (-3, 1, 1, "2", 9, 95, 13, 103, 8), (-3, 1, 2, "i", 14, 106, 17, 114, 8),
         (-3, 1, 3, "exem-", 30, 100, 60, 115, 12), (-3, 1, 4, "plo", 62, 100, 80, 115, 12),
     ]
-    grid = f"SELECT doc_id, page_num, block_idx AS idx, substr(text, 1, 12) AS text, {d.double('(block_idx * 61) % 400')} AS x0, {d.double('(block_idx * 17) % 120')} AS y0, {d.double('(block_idx * 61) % 400 + 50')} AS x1, {d.double('(block_idx * 17) % 120 + 12')} AS y1, CASE WHEN block_idx % 7 = 3 THEN {d.double('8')} ELSE font_size END AS font_size FROM ({blocks(d)}) AS gb WHERE doc_id >= 0"
+    grid = f"SELECT doc_id, page_num, block_idx AS idx, text, {d.double('(block_idx * 61) % 400')} AS x0, {d.double('(block_idx * 17) % 120')} AS y0, {d.double('(block_idx * 61) % 400 + 50')} AS x1, {d.double('(block_idx * 17) % 120 + 12')} AS y1, CASE WHEN block_idx % 7 = 3 THEN {d.double('8')} ELSE font_size END AS font_size FROM ({blocks(d)}) AS gb WHERE doc_id >= 0"
     return f"{values('doc_id page_num idx text x0 y0 x1 y1 font_size', rows, kinds)} UNION ALL SELECT * FROM ({grid}) AS grid"
 
 

@@ -4,7 +4,10 @@ import io
 import zipfile
 
 from leafwork.operators.merging import merge_fragments, merge_reason, merge_zones
+from leafwork.plans import page_queries
+from leafwork.plans.frame import over_tables
 from leafwork.sources import files, sinks
+from leafwork.sources.blocks import blocks
 from leafwork.streaming import markdown_stream
 
 BOX = "doc_id long, page_num int, idx int, text string, x0 double, y0 double, x1 double, y1 double"
@@ -50,3 +53,9 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "Um texto comum aqui.\nOutra linha de texto.")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/in")
     markdown_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
     assert "Outra linha" in spark.read.parquet(f"file://{tmp_path}/out").first()["markdown"]
+
+
+def test_words_hold_whole_lines(spark, sf):
+    lines = over_tables(blocks)(spark, sf).filter("doc_id >= 0").selectExpr("doc_id", "page_num", "block_idx AS idx", "text AS line")
+    words = over_tables(page_queries._words)(spark, sf).filter("doc_id >= 0").join(lines, ["doc_id", "page_num", "idx"], "full")
+    assert words.filter("NOT text <=> line").count() == 0 and words.filter("length(text) > 12").count() > 0
