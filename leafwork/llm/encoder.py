@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import regex
@@ -45,6 +46,7 @@ class Encoder:
 
     def _clear(self):
         self.part: dict[str, int] = {}
+        self.first: dict[str, int] = {}
         self.token: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
@@ -52,9 +54,9 @@ class Encoder:
         self.fresh: list[int] = []
         self.sizes: list[int] = []
 
-    def _add(self, part: str) -> int:
-        """Encodes a part; its key lacks the leading space, or has \\0 in front where the text has none."""
-        whole = part[1:] if part[0:1] == "\0" else " " + part
+    def _add(self, part: str, memo: dict[str, int]) -> int:
+        """Encodes a part; in `part` a key lacks the part's leading space, in `first` it is the whole part."""
+        whole = part if memo is self.first else " " + part
         if part.isalpha():
             pieces = (whole,)
         elif _UNSURE.search(part):
@@ -75,7 +77,7 @@ class Encoder:
             ids += known
         self.fresh += ids
         self.sizes.append(len(ids))
-        at = self.part[part] = self.n
+        at = memo[part] = self.n
         self.n += 1
         return at
 
@@ -102,13 +104,18 @@ class Encoder:
                 counts.append(0)
                 continue
             if _WIDE.search(text):
-                parts = [p[1:] if p[0] == " " else "\0" + p for p in _CUT.split(text) if p]
+                parts = [p for p in _CUT.split(text) if p]
+                memo = self.first
+                if parts[0][0] == " ":
+                    parts[0], memo = parts[0][1:], self.part
+                parts[1:] = [p[1:] for p in parts[1:]]  # cut before a space
             else:
                 parts = text.split(" ")
-                parts[0] = "\0" + parts[0]
+                memo = self.first
             found = list(map(get, parts))
+            found[0] = memo.get(parts[0])
             if None in found:
-                found = [self._add(p) if (k := get(p)) is None else k for p in parts]
+                found = [self._add(p, m) if (k := m.get(p)) is None else k for p, m in zip(parts, chain([memo], repeat(self.part)))]
             rows += found
             counts.append(len(found))
         if not rows:

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, repeats, routing, rules, urls
 from leafwork.llm.common import components, prefix
+from leafwork.llm.encoder import Encoder
 from leafwork.llm.queries import TOKENIZER, URL_RULES
 from leafwork.llm.suffixes import suffix_array
 
@@ -72,6 +73,15 @@ def test_packed_files(spark, odd, tmp_path):
         bitpack.Writer(f"{tmp_path}/x.bin", 3).add([1], np.array([9], np.uint32), np.array([1]))
 
 
+def test_encoder_with_nul():
+    """A NUL at a part's start, middle and end is text like any other."""
+    tok = Tokenizer.from_file(TOKENIZER)
+    texts = ["x \0abc", "\0abc x", "x abc", "abc \0", "\0", " \0", "x  \0abc", "\0  \0abc abc", "a\0b \0\0abc"]
+    ids, ends = Encoder(TOKENIZER).encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing(spark, odd):
     tok = Tokenizer.from_file(TOKENIZER)
     tok.encode_special_tokens = True
