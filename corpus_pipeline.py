@@ -40,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their ids and places in sequences of 1024 tokens."""
-    return packing.pack(docs, TOKENIZER, full=1024, end_id=2)
+    return packing.pack(docs, TOKENIZER, full=1024, end_id=2, added=True)
 
 
 STAGES = [("toxicity", toxicity), ("near-dedup", near_dedup), ("repeated passages", repeated_passages), ("mixing", mixture), ("packing", packed)]

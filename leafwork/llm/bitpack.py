@@ -151,19 +151,19 @@ class Reader:
         self.file.close()
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added: bool = False) -> list[dict]:
     """Encodes doc_id, text and writes one packed file per range of doc_id into folder; returns the list of files.
 
     Documents stand in ascending doc_id order (null first; equal ids by text), each ends with end_id; a null or empty
     text is end_id alone. The list has a row per file (path, documents, ids, first id's place among all ids), as many
-    as there are partitions, never one per document.
+    as there are partitions, never one per document. added: see Encoder.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
 
     def encoded(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, added)
         k = TaskContext.get().partitionId()
         path = f"{folder}/ids-{k:06d}.bin"
         out = Writer(path, width(enc.vocab))
@@ -217,8 +217,8 @@ def read(spark: SparkSession, files: list[dict]) -> DataFrame:
     return listed.mapInArrow(decoded, "doc_id long, start long, n_tokens long, tokens binary")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
     """Writes packed files into the shared folder and reads them back; crc32 of each document's ids beside them."""
     spark = docs.sparkSession
-    files = write(docs, f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}", tokenizer, end_id)
+    files = write(docs, f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}", tokenizer, end_id, added)
     return read(spark, files).withColumn("ids_crc32", F.crc32("tokens"))

@@ -17,14 +17,14 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\u180e]")
 #: The byte alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on, in order.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = dict(zip([b for b in range(256) if b not in _PLAIN], range(256, 512)))
-_HELD: dict[str, "Encoder"] = {}
+_HELD: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
-    """One encoder per worker process and file."""
-    if path not in _HELD:
-        _HELD[path] = Encoder(path)
-    return _HELD[path]
+def encoder(path: str, added: bool = False) -> "Encoder":
+    """One encoder per worker process, file and treatment of added tokens."""
+    if (path, added) not in _HELD:
+        _HELD[path, added] = Encoder(path, added)
+    return _HELD[path, added]
 
 
 class Encoder:
@@ -32,12 +32,15 @@ class Encoder:
 
     A byte-level BPE never merges across a break between a solid character and a space, so a text is cut there, each
     different part goes through the library's pre-tokenizer and model once, and known parts are looked up. The memos
-    are bounded and start anew when full. Strings of special tokens in a text are ordinary text.
+    are bounded and start anew when full. With `added`, a text that holds the string of an added token goes to the
+    library whole, which gives that token's id as the plain call does; without, such strings are ordinary text.
     """
 
-    def __init__(self, path: str, parts: int = 900_000, tokens: int = 500_000):
+    def __init__(self, path: str, added: bool = False, parts: int = 900_000, tokens: int = 500_000):
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        names = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, names))) if added and names else None
         if self.tok.normalizer is not None or "ByteLevel" not in str(self.tok.pre_tokenizer):
             raise ValueError("memoised encoding is exact for byte-level BPE without a normalizer")
         self.vocab = self.tok.get_vocab_size()
@@ -99,10 +102,16 @@ class Encoder:
         if self.n > self.most[0]:
             self._clear()
         get, rows, counts = self.part.get, [], []
+        held = self.added and self.added.search
+        whole: dict[int, np.ndarray] = {}
         for text in texts:
             if not text:
                 counts.append(0)
                 continue
+            if held and held(text):
+                whole[len(counts)] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+                counts.append(0)
+                continue
             if _WIDE.search(text):
                 parts = [p for p in _CUT.split(text) if p]
                 memo = self.first
@@ -118,12 +127,16 @@ class Encoder:
                 found = [self._add(p, m) if (k := m.get(p)) is None else k for p, m in zip(parts, chain([memo], repeat(self.part)))]
             rows += found
             counts.append(len(found))
-        if not rows:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        self._settle()
-        k = np.array(rows, np.int64)
-        size = self.begin[k + 1] - self.begin[k]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.begin[k] - (ends - size), size) + np.arange(ends[-1])]
-        upto = np.concatenate([[0], ends])
-        return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
+        ids, upto = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if rows:
+            self._settle()
+            k = np.array(rows, np.int64)
+            size = self.begin[k + 1] - self.begin[k]
+            ends = np.cumsum(size)
+            ids = self.flat[np.repeat(self.begin[k] - (ends - size), size) + np.arange(ends[-1])]
+            upto = np.concatenate([[0], ends])
+        at = upto[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        if whole:
+            own = [whole[i] if i in whole else ids[at[i] : at[i + 1]] for i in range(len(texts))]
+            ids, at = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        return ids, at

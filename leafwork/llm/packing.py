@@ -122,7 +122,7 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, added: bool = False) -> DataFrame:
     """The documents' pieces, staged: doc_id, piece, start, length, ids (bytes of uint32), ids_crc32, part, local.
 
     A document is its ids and end_id (a null or empty text: end_id alone); only a longer one than `full` is cut, so
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2) -
     small_batches(docs.sparkSession)
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, added)
         part, seen = TaskContext.get().partitionId(), np.zeros(full + 1, np.int64)
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -211,7 +211,7 @@ def place(cut: DataFrame, full: int = 1024) -> DataFrame:
     return ranked.mapInArrow(found, f"{kind}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, [ids,] ids_crc32, sequence_id, offset of every piece of docs (doc_id, text)."""
-    cut = pieces(docs, tokenizer, full, end_id)
+def pack(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, with_ids: bool = True, added: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, [ids,] ids_crc32, sequence_id, offset of every piece of docs (doc_id, text); added: see Encoder."""
+    cut = pieces(docs, tokenizer, full, end_id, added)
     return place(cut if with_ids else cut.drop("ids"), full)

@@ -26,12 +26,12 @@ def op2_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, full=1024, end_id=2, with_ids=False)
+    packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, full=1024, end_id=2, with_ids=False, added=True)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = bitpack.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0)
+    back = bitpack.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, added=True)
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

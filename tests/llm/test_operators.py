@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, repeats, routing, rules, urls
+from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, queries, repeats, routing, rules, urls
 from leafwork.llm.common import components, prefix
 from leafwork.llm.encoder import Encoder
 from leafwork.llm.queries import TOKENIZER, URL_RULES
@@ -82,6 +82,24 @@ def test_encoder_with_nul():
         assert ids[ends[i] : ends[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_in_texts(spark, odd, tmp_path):
+    """The queries' ids are those of the unmodified library, with <|endoftext|> in a text as its own id."""
+    tok = Tokenizer.from_file(TOKENIZER)
+    more = [(20, "a <|endoftext|> b"), (21, "<|endoftext|><|endoftext|>"), (22, "x<|endoftext|> \n"), (23, "<|endoftext"), (24, "c d")]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    docs.withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((str(r.doc_id), tok.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect())
+    assert ("20", [64, 220, 50256, 275]) in want
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    got = queries.op4_bit_packed_ids(spark, f"file://{tmp_path}").collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((i, len(ids) + 1, crc([*ids, 0])) for i, ids in want)
+    got = [r for r in queries.op3_best_fit_packing(spark, f"file://{tmp_path}").collect() if r.doc_id != 4]
+    assert sorted((str(r.doc_id), r.length, r.ids_crc32) for r in got) == sorted((i, len(ids) + 1, crc([*ids, 2])) for i, ids in want if i != "4")
+    docs = docs.filter("doc_id >= 20")
+    packed = corpus_pipeline.packed(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.ids_crc32) for r in packed) == [(int(i), crc([*ids, 2])) for i, ids in want if i >= "20" and len(i) == 2]
+
+
 def test_packing(spark, odd):
     tok = Tokenizer.from_file(TOKENIZER)
     tok.encode_special_tokens = True
