@@ -181,7 +181,8 @@ def candidates(classes: DataFrame, trees: int = TREES, small: int = SMALL, level
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
-    """set_id, shingles of the wanted (set_id, doc_id); the texts of other documents aren't read into sets."""
+    """set_id, shingles of the wanted (set_id, doc_id); of documents with an id, only the texts asked for are read into
+    sets. Those without one are found by the name of their set."""
 
     def sets(batches):
         for batch in batches:
@@ -189,11 +190,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
             for a, b in chunks(offsets):
                 value, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 asked = batch.column("set_id").slice(a, b - a)
-                own = pa.RecordBatch.from_arrays([asked, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["set_id", "shingles"])
-                yield own.filter(pa.array(_names(value, at) == asked.to_numpy()))  # another text of the same doc_id is not asked for
+                name = _names(value, at)
+                own = pa.RecordBatch.from_arrays([pa.array(name), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["set_id", "shingles"])
+                keep = asked.is_null().to_numpy(zero_copy_only=False) | (name == asked.fill_null(0).to_numpy())
+                yield own.filter(pa.array(keep))  # another text of the same doc_id is not asked for
 
-    found = docs.select("doc_id", "text").join(wanted.select("set_id", "doc_id"), "doc_id")
-    return found.select("set_id", "text").mapInArrow(sets, "set_id long, shingles array<bigint>")
+    kind = "set_id long, shingles array<bigint>"
+    found = docs.select("doc_id", "text").join(wanted.select("set_id", "doc_id"), "doc_id").select("set_id", "text").mapInArrow(sets, kind)
+    nameless = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("set_id"), "text").mapInArrow(sets, kind)
+    return found.union(nameless.join(wanted.filter("doc_id IS NULL").select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,8 +213,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Rows with equal
-    texts are copies of one set. A null doc_id is never a component's smallest id unless all its ids are null; such
-    rows are kept. Other columns are left aside.
+    texts are copies of one set. A null doc_id is never a component's smallest id unless all its ids are null; only
+    then are such rows kept. Other columns are left aside.
     """
     signed = stage(signatures(docs, k), "signatures")
     classes = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(
@@ -256,4 +261,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int
     label = label.join(least, "component").select("set_id", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id OR doc_id IS NULL").alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))

@@ -198,6 +198,14 @@ def test_near_duplicates_in_a_crowded_node(spark):
     assert [r.doc_id for r in got if r.component_id != r.doc_id - r.doc_id % 2] == []
 
 
+def test_near_duplicates_without_ids(spark):
+    """A row without an id links its neighbours, and goes where its group has a row with an id."""
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))  # noqa: E731  0.82 to the middle, 0.68 from end to end
+    rows = [(1, text(0, 100)), (None, text(10, 110)), (None, text(10, 110)), (2, text(20, 120)), (None, "só um"), (None, None)]
+    got = chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("1", "1", True), ("2", "1", False), ("None", "1", False), ("None", "1", False), ("None", "None", True), ("None", "None", True)]
+
+
 def test_near_duplicates_of_nothing(spark, odd):
     assert chosenpath.near_duplicates(odd.limit(0)).collect() == []
 
