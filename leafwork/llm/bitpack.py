@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafwork.llm.common import partitions, shared_dir, small_batches
 from leafwork.llm.encoder import encoder
-from leafwork.llm.textbytes import chunks
+from leafwork.llm.textbytes import buffers, chunks
 
 MAGIC = b"LWBITS01"
 BLOCK = 1 << 16
@@ -79,6 +79,7 @@ class Writer:
         self.out.write(MAGIC + struct.pack("<q", bits))
         self.bits, self.at, self.n = bits, 16, 0
         self.rest = np.zeros(0, np.uint32)
+        self.documents = 0
         self.docs, self.ends, self.offsets, self.crcs = [], [], [], []
 
     def _block(self, ids: np.ndarray):
@@ -88,11 +89,12 @@ class Writer:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_ids: list, ids: np.ndarray, ends: np.ndarray):
+    def add(self, doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray):
         """Documents in a row: their ids, and where each ends among them."""
         if len(ids) and int(ids.max()) >> self.bits:
             raise ValueError(f"an id needs more than {self.bits} bits")
-        self.docs += [_NO_ID if d is None else d for d in doc_ids]
+        self.docs.append(np.asarray(doc_ids, "<i8"))
+        self.documents += len(doc_ids)
         self.ends.append(ends + self.n)
         self.n += len(ids)
         self.rest = np.concatenate([self.rest, ids])
@@ -104,10 +106,12 @@ class Writer:
     def close(self):
         if len(self.rest):
             self._block(self.rest)
-        ends = np.concatenate(self.ends) if self.ends else np.zeros(0, np.int64)
-        for a in (np.array(self.docs, "<i8"), ends.astype("<i8"), np.array(self.offsets, "<i8"), np.array(self.crcs, "<i8")):
-            self.out.write(a.tobytes())
-        self.out.write(struct.pack("<qq", len(self.docs), len(self.offsets)) + MAGIC)
+        for parts in (self.docs, self.ends):
+            for a in parts:
+                self.out.write(a.astype("<i8").tobytes())
+        for a in (self.offsets, self.crcs):
+            self.out.write(np.array(a, "<i8").tobytes())
+        self.out.write(struct.pack("<qq", self.documents, len(self.offsets)) + MAGIC)
         self.out.close()
         self.fs.move(self.part, self.path)  # a repeated task puts the same file in place again
 
@@ -151,16 +155,17 @@ class Reader:
         self.file.close()
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added: bool = False) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added: bool = False, per_file: int = 1 << 16) -> list[dict]:
     """Encodes doc_id, text and writes one packed file per range of doc_id into folder; returns the list of files.
 
-    Documents stand in ascending doc_id order (null first; equal ids by text), each ends with end_id; a null or empty
-    text is end_id alone. The list has a row per file (path, documents, ids, first id's place among all ids), as many
-    as there are partitions, never one per document. added: see Encoder.
+    Documents stand in ascending doc_id order (null first; equal ids by a hash of the text, so that repeated ids part
+    over tasks too), each ends with end_id; a null or empty text is end_id alone. The list has a row per file (path,
+    documents, ids, first id's place among all ids): about `per_file` documents in each, and at least one file a shuffle
+    partition, never one per document. Columns beside doc_id and text are left aside. added: see Encoder.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
+    n = max(partitions(spark), -(-docs.count() // per_file))
 
     def encoded(batches):
         enc = encoder(tokenizer, added)
@@ -169,10 +174,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added:
         out = Writer(path, width(enc.vocab))
         for batch in batches:
             texts = batch.column("text")
-            size = np.array([0, *np.cumsum([len(t) for t in (x.as_py() or "" for x in texts)])], np.int64)
-            doc = batch.column("doc_id").to_pylist()
-            for a, b in chunks(size):
-                ids, ends = enc.encode(texts.slice(a, b - a).to_pylist())
+            doc = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
+            for a, b in chunks(buffers(texts)[1], 4 << 20):
+                ids, ends = enc.encode(texts.slice(a, b - a))
                 places = ends[1:] + np.arange(1, b - a + 1)
                 full = np.empty(len(ids) + b - a, np.uint32)
                 full[places - 1] = end_id
@@ -181,9 +185,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added:
                 full[gap] = ids
                 out.add(doc[a:b], full, places)
         out.close()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int64()), "path": [path], "docs": pa.array([len(out.docs)], pa.int64()), "ids": pa.array([out.n], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int64()), "path": [path], "docs": pa.array([out.documents], pa.int64()), "ids": pa.array([out.n], pa.int64())})
 
-    sorted_docs = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_x"))
+    sorted_docs = hashed.repartitionByRange(n, "doc_id", "_x").sortWithinPartitions("doc_id", "_x").drop("_x")
     fs, at = filesystem(folder)
     fs.create_dir(at, recursive=True)
     files = [r.asDict() for r in sorted_docs.mapInArrow(encoded, "part long, path string, docs long, ids long").collect()]

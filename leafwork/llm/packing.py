@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from leafwork.llm.common import small_batches, stage
 from leafwork.llm.encoder import encoder
-from leafwork.llm.textbytes import chunks
+from leafwork.llm.textbytes import buffers, chunks
 
 
 def patterns(lengths: np.ndarray, full: int) -> np.ndarray:
@@ -122,11 +122,12 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, added: bool = False) -> DataFrame:
-    """The documents' pieces, staged: doc_id, piece, start, length, ids (bytes of uint32), ids_crc32, part, local.
+def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, added: bool = False, with_ids: bool = True) -> DataFrame:
+    """The documents' pieces, staged: doc_id, piece, start, length, [ids (bytes of uint32),] ids_crc32, part, local.
 
     A document is its ids and end_id (a null or empty text: end_id alone); only a longer one than `full` is cut, so
-    that all its pieces but the first are full. `local` counts the pieces of one length in their task, `part`.
+    that all its pieces but the first are full. `local` counts the pieces of one length in their task, `part`. Rows that
+    share a doc_id, or have none, are documents of their own; columns beside doc_id and text are left aside.
     """
     small_batches(docs.sparkSession)
 
@@ -134,11 +135,11 @@ def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, a
         enc = encoder(tokenizer, added)
         part, seen = TaskContext.get().partitionId(), np.zeros(full + 1, np.int64)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)
             null = np.asarray(batch.column("doc_id").is_null())
-            for a, b in chunks(np.array([0, *np.cumsum([len(t or "") for t in texts])])):
-                ids, ends = enc.encode(texts[a:b])
+            for a, b in chunks(buffers(texts)[1], 4 << 20):
+                ids, ends = enc.encode(texts.slice(a, b - a))
                 n = np.diff(ends) + 1
                 stream = np.empty(len(ids) + b - a, "<u4")
                 stop = np.cumsum(n)
@@ -161,13 +162,12 @@ def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, a
                 at = np.concatenate([[0], np.cumsum(length)]) * 4
                 data = stream.tobytes()
                 crc = [zlib.crc32(data[at[i] : at[i + 1]]) for i in range(len(doc))]
-                packed = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(doc_id[a:b][doc], pa.int64(), mask=null[a:b][doc]), "piece": pa.array(k, pa.int32()), "start": start, "length": length,
-                    "ids": packed, "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array(np.full(len(doc), part)), "local": local,
-                })
+                out = {"doc_id": pa.array(doc_id[a:b][doc], pa.int64(), mask=null[a:b][doc]), "piece": pa.array(k, pa.int32()), "start": start, "length": length}
+                if with_ids:
+                    out["ids"] = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_pydict(out | {"ids_crc32": pa.array(crc, pa.int64()), "part": pa.array(np.full(len(doc), part)), "local": local})
 
-    kind = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, part long, local long"
+    kind = f"doc_id long, piece int, start long, length long, {'ids binary, ' * with_ids}ids_crc32 long, part long, local long"
     return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, kind), "pieces")
 
 
@@ -213,5 +213,4 @@ def place(cut: DataFrame, full: int = 1024) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, with_ids: bool = True, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, [ids,] ids_crc32, sequence_id, offset of every piece of docs (doc_id, text); added: see Encoder."""
-    cut = pieces(docs, tokenizer, full, end_id, added)
-    return place(cut if with_ids else cut.drop("ids"), full)
+    return place(pieces(docs, tokenizer, full, end_id, added, with_ids), full)
