@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from leafwork.llm.common import small_batches
@@ -54,7 +55,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, factors: int = 4, epochs: int = 6, least: int = 5, bits: int = BITS, seed: int = 3) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_000, factors: int = 4, epochs: int = 6, least: int = 5, bits: int = BITS, seed: int = 3) -> Machine:
     """Fits to at most `rows` labelled documents that aren't held out; their hashed terms alone come to the driver.
 
     Buckets in fewer than `least` sampled documents have no weight.
@@ -69,23 +70,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32()), pa.array(bucket, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("y").slice(a, b - a), lists], ["doc_id", "y", "terms"])
 
-    got = sample(docs, labels, label, rows).mapInArrow(hashed, "doc_id long, y double, terms array<int>").toPandas().sort_values(["doc_id", "y"])
-    y = got["y"].to_numpy(float)
+    got = sample(docs, labels, label, rows).mapInArrow(hashed, "doc_id long, y double, terms array<int>").toArrow()  # at most `rows`
+    got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+    y = got.column("y").to_numpy()
     n = len(y)
     prior = (y.sum() + 1) / (n + 2)
     b = float(np.log(prior / (1 - prior)))
     none = Machine(bits, b, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     if n == 0 or y.min() == y.max():
         return none
-    size = got["terms"].map(len).to_numpy()
-    flat = np.concatenate([*got["terms"].to_numpy(), np.zeros(0, np.int32)]).astype(np.int64)
-    used = np.bincount(flat, minlength=1 << bits) >= least
-    bucket = np.flatnonzero(used)
+    size = pc.list_value_length(got.column("terms")).to_numpy()
+    flat = pc.list_flatten(got.column("terms")).to_numpy()
+    del got
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
+    used = np.zeros(1 << bits, np.int32)
+    for s in range(0, len(flat), 1 << 20):
+        used += np.bincount(flat[s : s + (1 << 20)], minlength=1 << bits).astype(np.int32)
+    bucket = np.flatnonzero(used >= least)
     if not len(bucket):
         return none
-    row = np.repeat(np.arange(n), size)[used[flat]]
-    k = np.searchsorted(bucket, flat[used[flat]])
+    place = np.full(1 << bits, -1, np.int32)
+    place[bucket] = np.arange(len(bucket))
+    k = place[flat]
+    del flat
+    keep = k >= 0
+    k, row = k[keep], row[keep]
     at = np.searchsorted(row, np.arange(n + 1))
+    del keep, row
     b, w, v = descend(k, at, y, len(bucket), b, factors, epochs, seed)
     return Machine(bits, b, bucket, w, v)
 
@@ -98,8 +109,12 @@ def descend(k: np.ndarray, at: np.ndarray, y: np.ndarray, size: int, b: float, f
     rng = np.random.default_rng(seed)
     n = len(y)
     # start from half the log odds of the terms whose share among the positive differs by over 4 deviations
-    row = np.repeat(np.arange(n), np.diff(at))
-    pos, all_ = np.bincount(k, y[row], size), np.bincount(k, minlength=size)
+    pos, all_ = np.zeros(size), np.zeros(size)
+    for s in range(0, n, 1024):
+        e = min(n, s + 1024)
+        own = k[at[s] : at[e]]
+        pos += np.bincount(own, np.repeat(y[s:e], np.diff(at[s : e + 1])), size)
+        all_ += np.bincount(own, minlength=size)
     share = y.sum() / n
     far = np.abs(pos - all_ * share) / np.sqrt(all_ * share * (1 - share) + 1e-9) > 4
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((all_ - pos + 0.5) / (n - y.sum() + 1))
