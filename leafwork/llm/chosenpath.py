@@ -3,10 +3,11 @@
 A set of word shingles is reduced to COORDINATES minwise tokens. A tree starts with all sets in one node; a node picks
 one coordinate, and at times a second (4/3 on average, the inverse of the threshold), by its own name, and hands each
 set to the child named by the set's token there. A node of at most SMALL sets is compared exhaustively and ends. A
-larger one compares its sets with one pivot and branches on. Independent trees bring the recall to the target: a pair
-of similarity 0.75 shares a first child in one of 18 trees but for 0.25 ** 18. At level LEVELS branching stops: the
-nodes that are still large and hold sets of different components are kept whole, joined by ROUNDS of pivots, and what is
-left is compared in all pairs that lie in different components.
+larger one, a crowd, compares its sets with two pivots. The links of a level are confirmed and components joined before
+the next: a node whose sets are all linked is done, and of the others only pairs across components matter. What is
+still mixed branches on. Independent trees bring the recall to the target: a pair of similarity 0.75 shares a first
+child in one of 18 trees but for 0.25 ** 18. At level LEVELS branching stops, and crowds that are still mixed are
+compared exhaustively on full sets, tile against tile, whatever their size.
 Pairs are screened by 192 bits of the minwise tokens (a true pair fails by chance once in 100,000) and confirmed on
 full sets. Equal sets are one class throughout, so copies cost nothing, and no step gathers a large node in a task.
 """
@@ -17,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafwork.llm.common import components, discard, release, small_batches, stage
+from leafwork.llm.common import components, discard, small_batches, stage
 from leafwork.llm.textbytes import U, buffers, chunks, mix, words
 
 COORDINATES = 48
 TREES = 18
 SMALL = 24
 LEVELS = 5
-ROUNDS = 8
+TILE = 256  # sets of a crowd that are compared with as many others in a task
+VOLUME = 1 << 18  # shingles that they hold at most, about
 SCREEN = 24  # of 48 tokens that agree in four bits; a pair of similarity 0.75 has 36.8 on average, deviation 2.9
 _RNG = np.random.default_rng(75)
 _STEP = _RNG.integers(1, 1 << 63, COORDINATES, dtype=U) | U(1)
@@ -66,18 +68,18 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.n
     return value, np.searchsorted(doc, np.arange(rows + 1))
 
 
-def _names(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, from two sums over its members: equal for equal sets."""
-    sums = []
+def _names(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of each set, sums over its members: equal for equal sets."""
+    names = []
     with np.errstate(over="ignore"):
         for salt in (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)):
             run = np.concatenate([np.zeros(1, U), np.cumsum(mix(value ^ salt), dtype=U)])
-            sums.append(run[at[1:]] - run[at[:-1]])
-        return mix(sums[0] * U(3) + sums[1]).view(np.int64)
+            names.append(mix(run[at[1:]] - run[at[:-1]]).view(np.int64))
+    return names[0], names[1]
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id (of the set; null if empty), sketch (3 longs) and tokens of every document."""
+    """doc_id, n_shingles, set_id and name (of the set; null if empty), sketch (3 longs) and tokens of every document."""
     small_batches(docs.sparkSession)
 
     def sign(batches):
@@ -100,13 +102,13 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                     sketch[:, c // 16] |= bits[:, c] << U(4 * (c % 16))
                 tokens = (tokens >> U(33)).astype(np.int32)
                 lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
-                name = _names(value, at)
+                set_id, name = _names(value, at)
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(name, mask=~full), lists(sketch.view(np.int64), pa.int64()), lists(tokens, pa.int32())],
-                    ["doc_id", "n_shingles", "set_id", "sketch", "tokens"],
+                    [doc_id.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(set_id, mask=~full), pa.array(name, mask=~full), lists(sketch.view(np.int64), pa.int64()), lists(tokens, pa.int32())],
+                    ["doc_id", "n_shingles", "set_id", "name", "sketch", "tokens"],
                 )
 
-    kind = "doc_id long, n_shingles long, set_id long, sketch array<bigint>, tokens array<int>"
+    kind = "doc_id long, n_shingles long, set_id long, name long, sketch array<bigint>, tokens array<int>"
     return docs.select("doc_id", "text").mapInArrow(sign, kind)
 
 
@@ -125,23 +127,10 @@ def _alike(a: str, b: str) -> F.Column:
     return F.expr(_alike_sql(a, b))
 
 
-def _pairs_within(rows: DataFrame, fields: list[str], also: str = "true") -> DataFrame:
-    """x, y of the screened pairs within each node of at most SMALL rows; pairs that fail are never made rows of their own."""
-    met = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("m")).select(F.posexplode("m").alias("i", "x"), "m")
-    return met.select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), y -> {also} AND {_alike_sql('x', 'y')})")).alias("y"))
-
-
-def _pairs_across(rows: DataFrame, fields: list[str], block: int = 64, salts: int = 16) -> DataFrame:
-    """x, y of all screened pairs of a node's rows (node, members, fields) in different components; blocks of rows meet in salted joins."""
-    own = rows.withColumn("block", F.expr(f"pmod(xxhash64(3, set_id), ceil(members / {block}))")).groupBy("node", "block").agg(F.collect_list(F.struct(*fields)).alias("m"))
-    x = own.select("node", F.col("block").alias("i"), F.col("m").alias("xs"), F.expr(f"pmod(block, {salts})").cast("int").alias("salt"))
-    y = own.select("node", F.col("block").alias("j"), F.col("m").alias("ys"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    ok = f"(i < j OR x.set_id < y.set_id) AND x.component <> y.component AND {_alike_sql('x', 'y')}"
-    pairs = F.expr(f"inline(flatten(transform(xs, x -> transform(filter(ys, y -> {ok}), y -> struct(x AS x, y AS y)))))")
-    return x.join(y, ["node", "salt"]).filter("i <= j").select(pairs)
-
-
-_ROW = "set_id, n, sketch"
+def roots(classes: DataFrame, trees: int = TREES) -> DataFrame:
+    """node, set_id, n, sketch: each set's first node in every tree; the trees' first levels differ in their coordinates."""
+    step = max(1, COORDINATES // trees)
+    return classes.selectExpr(f"explode(transform(sequence(0, {trees - 1}), t -> xxhash64(t, tokens[int(pmod(t * {step}, {COORDINATES}))]))) AS node", "set_id", "n", "sketch")
 
 
 def _branch(rows: DataFrame) -> DataFrame:
@@ -150,55 +139,107 @@ def _branch(rows: DataFrame) -> DataFrame:
     return rows.selectExpr(
         "explode(transform(IF(pmod(xxhash64(7, node), 3) = 0, array(pmod(xxhash64(11, node), {0}), pmod(xxhash64(11, node) + 1 + pmod(xxhash64(13, node), {0} - 1), {0})), array(pmod(xxhash64(11, node), {0}))),"
         " c -> xxhash64(node, c, tokens[int(c)]))) AS node".format(c),
-        "set_id", "n", "sketch", "tokens",
+        "set_id", "n", "sketch",
     )
 
 
-def candidates(classes: DataFrame, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """Screened pairs (a, b) of set ids, and (node, set_id, n, sketch, tokens) of the nodes that are large at the last level."""
-    # the root of tree t picks its own coordinates, so that the trees' first levels differ
-    step = COORDINATES // trees if trees <= COORDINATES else 1
-    rows = classes.selectExpr(
-        f"explode(transform(sequence(0, {trees - 1}), t -> xxhash64(t, tokens[int(pmod(t * {max(1, step)}, {COORDINATES}))]))) AS node", "set_id", "n", "sketch", "tokens"
-    )
-    pairs, large = [], None
-    for level in range(levels):
-        counts = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct("set_id", "n", "sketch")).alias("pivot")).filter("members > 1")
-        met = stage(rows.join(counts, "node"), f"level{level}")
-        few = _pairs_within(met.filter(F.col("members") <= small), ["set_id", "n", "sketch"])
-        pairs.append(few.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")))
-        large = met.filter(F.col("members") > small)
-        starred = large.withColumn("x", F.struct("set_id", "n", "sketch")).filter("set_id <> pivot.set_id").filter(_alike("x", "pivot"))
-        pairs.append(starred.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b")))
-        if level + 1 == levels or large.isEmpty():
-            break
-        rows = _branch(large)
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.union(p)
-    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return stage(out, "pairs"), large.select("node", "set_id", "n", "sketch", "tokens")
+def _named(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Adds each set's component, itself where it isn't linked yet."""
+    if label is None:
+        return rows.withColumn("component", F.col("set_id"))
+    return rows.join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+
+def _mixed(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The rows of nodes that hold several components, with their component, the node's members and two pivots."""
+    named = _named(rows, label)
+    pivot = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), "node", "set_id").alias("h"), "component", "set_id", "n", "sketch"))
+    found = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), pivot(1).alias("p"), pivot(2).alias("q"))
+    return named.join(found.filter("lo <> hi").select("node", "members", "p", "q"), "node")
+
+
+_FIELDS = ["set_id", "n", "sketch", "component"]
+
+
+def _pairs(met: DataFrame, small: int) -> DataFrame:
+    """a, b and their components ca, cb: screened pairs across components, all of a small node's and a crowd's with its pivots."""
+    few = met.filter(F.col("members") <= small).groupBy("node").agg(F.sort_array(F.collect_list(F.struct(*_FIELDS))).alias("m")).select(F.posexplode("m").alias("i", "x"), "m")
+    # pairs that fail are never made rows of their own
+    few = few.select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), y -> x.component <> y.component AND {_alike_sql('x', 'y')})")).alias("y"))
+    star = met.filter(F.col("members") > small).select(F.struct(*_FIELDS).alias("x"), "p", "q")
+    star = star.select("x", F.explode(F.expr(f"filter(array(p, q), y -> x.component <> y.component AND {_alike_sql('x', 'y')})")).alias("y"))
+    both = few.select("x.*", F.struct("y.set_id", "y.component").alias("y")).union(star.select("x.*", F.struct("y.set_id", "y.component").alias("y")))
+    return _ordered(both.selectExpr("set_id AS a", "y.set_id AS b", "component AS ca", "y.component AS cb"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the smaller id first."""
+    return pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "if(a < b, ca, cb) AS ca", "if(a < b, cb, ca) AS cb").distinct()
+
+
+def _across(crowd: DataFrame, sets: DataFrame, tile: int = TILE, volume: int = VOLUME) -> DataFrame:
+    """a, b, ca, cb of all pairs of a crowd (node, set_id, n, component) across components whose full sets are similar.
+
+    A node's sets are dealt into tiles, each pair of tiles is a task's work of bounded size, and only links leave it.
+    """
+    size = crowd.groupBy("node").agg(F.expr(f"int(greatest(ceil(count(*) / {tile}), ceil(sum(n) / {volume})))").alias("tiles"))
+    own = crowd.join(size, "node").withColumn("tile", F.expr("int(pmod(xxhash64(3, set_id), tiles))")).join(sets, "set_id")
+    own = own.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select("node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "set_id", "component", "shingles")
+
+    def compare(t: pa.Table) -> pa.Table:
+        name, part, tile = (t.column(c).to_numpy() for c in ("set_id", "component", "tile"))
+        lists = t.column("shingles").combine_chunks()
+        at = lists.offsets.to_numpy().astype(np.int64)
+        x, y = np.flatnonzero(tile == t.column("i")[0].as_py()), np.flatnonzero(tile == t.column("j")[0].as_py())
+        value = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(name)), np.diff(at))
+        shared = np.unique(value, return_inverse=True)[1]
+        place = np.full(len(name), -1)
+        place[x] = np.arange(len(x))
+        other = np.full(len(name), -1)
+        other[y] = np.arange(len(y))
+        common = np.zeros((len(x), len(y)), np.float32)
+        order = np.argsort(shared, kind="stable")
+        owner, shared = owner[order], shared[order]
+        for s in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):  # a block of shingles at a time
+            a, b = np.searchsorted(shared, [s, s + 4096])
+            who, what = owner[a:b], shared[a:b] - s
+            left, right = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+            p, q = place[who], other[who]
+            left[p[p >= 0], what[p >= 0]] = 1
+            right[q[q >= 0], what[q >= 0]] = 1
+            common += left @ right.T
+        n = np.diff(at).astype(float)
+        p, q = np.nonzero(100 * common >= 75 * (n[x][:, None] + n[y][None] - common))
+        p, q = x[p], y[q]
+        ok = part[p] != part[q]
+        p, q = p[ok], q[ok]
+        return pa.table({"a": name[p], "b": name[q], "ca": part[p], "cb": part[q]})
+
+    return _ordered(own.groupBy("node", "i", "j").applyInArrow(compare, "a long, b long, ca long, cb long"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
-    """set_id, shingles of the wanted (set_id, doc_id); of documents with an id, only the texts asked for are read into
-    sets. Those without one are found by the name of their set."""
+    """set_id, shingles of the wanted (set_id, name, doc_id); of documents with an id, only the texts asked for are read
+    into sets. Those without one are found by the name of their set."""
 
     def sets(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
                 value, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                asked = batch.column("set_id").slice(a, b - a)
-                name = _names(value, at)
-                own = pa.RecordBatch.from_arrays([pa.array(name), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["set_id", "shingles"])
+                asked = batch.column("name").slice(a, b - a)
+                name = _names(value, at)[1]
+                own = pa.RecordBatch.from_arrays([batch.column("set_id").slice(a, b - a), pa.array(name), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["set_id", "name", "shingles"])
                 keep = asked.is_null().to_numpy(zero_copy_only=False) | (name == asked.fill_null(0).to_numpy())
                 yield own.filter(pa.array(keep))  # another text of the same doc_id is not asked for
 
-    kind = "set_id long, shingles array<bigint>"
-    found = docs.select("doc_id", "text").join(wanted.select("set_id", "doc_id"), "doc_id").select("set_id", "text").mapInArrow(sets, kind)
-    nameless = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("set_id"), "text").mapInArrow(sets, kind)
-    return found.union(nameless.join(wanted.filter("doc_id IS NULL").select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
+    kind = "set_id long, name long, shingles array<bigint>"
+    found = docs.select("doc_id", "text").join(wanted.select("set_id", "name", "doc_id"), "doc_id").select("set_id", "name", "text").mapInArrow(sets, kind)
+    none = F.lit(None).cast("long")
+    nameless = docs.filter("doc_id IS NULL").select(none.alias("set_id"), none.alias("name"), "text").mapInArrow(sets, kind)
+    nameless = nameless.drop("set_id").join(wanted.filter("doc_id IS NULL").select("set_id", "name"), "name").select("set_id", "name", "shingles")
+    return found.union(nameless).dropDuplicates(["set_id"]).drop("name")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,54 +250,67 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter("100 * i >= 75 * (size(xs) + size(ys) - i)").select(*pairs.columns)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, rounds: int = ROUNDS) -> DataFrame:
+def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """id, component after links (a, b, ca, cb) between components; ids that no link has named are left out."""
+    if links.isEmpty():
+        return label
+    new = components(links.selectExpr("ca AS a", "cb AS b"))
+    if label is None:
+        return stage(new, "found")
+    ends = links.selectExpr("ca AS id", "ca AS component").union(links.selectExpr("cb", "cb"))
+    moved = stage(new.selectExpr("id AS old", "component AS new"), "joined")
+    after = label.union(ends).distinct().join(moved, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
+    after = stage(after.distinct(), "found")
+    discard(label, moved)
+    return after
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """set_id, name, doc_id (the smallest), n, sketch, tokens of the different sets."""
+    found = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.min("name").alias("name"), F.max("name").alias("_other"),
+        F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch", "tokens"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("s"),
+    )
+    return stage(found.select("set_id", "name", "_other", "doc_id", "s.*"), "classes")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Rows with equal
     texts are copies of one set. A null doc_id is never a component's smallest id unless all its ids are null; only
-    then are such rows kept. Other columns are left aside.
+    then are such rows kept. Other columns are left aside. An empty table has no rows.
     """
     signed = stage(signatures(docs, k), "signatures")
-    classes = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "sketch", "tokens"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("s")
-    )
-    classes = stage(classes.select("set_id", "doc_id", "s.*"), "classes")
-    pairs, large = candidates(classes, trees, small, levels)
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(large.select("set_id")).distinct()
-    sets = stage(full_sets(docs, classes.join(wanted, "set_id")), "sets")
-    release(docs.sparkSession)
-    found = stage(components(stage(confirm(pairs, sets), "links")), "found")
-    weight = large.groupBy("set_id").agg(F.count("*").alias("weight"))
-    large = large.select("node", "set_id", "n", "sketch").join(weight, "set_id")
-    last = None
-    for turn in range(rounds + 1):
-        # nodes that hold several components; the first pivot is in most nodes, as the middle of a group of near copies is
-        named = large.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        best = F.min(F.struct(-F.col("weight") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "set_id"), "component", "set_id", "n", "sketch")).alias("pivot")
-        mixed = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), best).filter("lo <> hi")
-        mixed = stage(named.join(mixed, "node"), "mixed")
-        if last is not None:
-            discard(last)
-        if mixed.isEmpty():
+    classes = _classes(signed)
+    clash = classes.filter("name <> _other").select("set_id")
+    if not clash.isEmpty():  # different sets of one 64-bit name: both names tell them apart
+        both = F.when(F.col("_clash"), F.xxhash64("set_id", "name")).otherwise(F.col("set_id"))
+        apart = signed.join(clash.withColumn("_clash", F.lit(True)), "set_id", "left").withColumn("set_id", both).drop("_clash")
+        signed = stage(apart, "signatures")
+        classes = _classes(signed)
+    label = sets = None
+    rows, crowd = roots(classes, trees), None
+    for level in range(levels):
+        last, met = crowd, stage(_mixed(rows, label), "met")
+        discard(last)
+        pairs = stage(_pairs(met, small), "pairs")
+        crowd = met.filter(F.col("members") > small).select("node", "set_id", "n", "sketch")
+        if sets is None:  # whoever may be compared later is in a pair or a crowd of the first level
+            wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowd.select("set_id")).distinct()
+            sets = stage(full_sets(docs, classes.join(wanted, "set_id").select("set_id", "name", "doc_id"), k), "sets")
+        links = stage(confirm(pairs, sets), "links")
+        label = _joined(label, links)
+        crowd = stage(_mixed(crowd, label).select("node", "set_id", "n", "sketch", "component"), "crowd")
+        discard(met, pairs, links)
+        if crowd.isEmpty():
             break
-        fields = ["set_id", "n", "sketch", "component"]
-        if turn < rounds:
-            fresh = mixed.filter("component <> pivot.component").select(F.struct(*fields).alias("y"), F.col("pivot").alias("x")).filter(_alike("x", "y"))
-        else:
-            fresh = _pairs_across(mixed, fields)
-        large, last = mixed.select("node", "set_id", "n", "sketch", "weight"), mixed  # whole: a member leaves only with its node
-        fresh = fresh.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
-        fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, ca, cb)").alias("ca"), F.expr("if(a < b, cb, ca)").alias("cb"))
-        new = stage(confirm(fresh.distinct(), sets), "links")
-        if new.isEmpty():
-            continue
-        # new links join components; the old labels follow
-        joined = stage(components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined").withColumnRenamed("id", "old").withColumnRenamed("component", "new")
-        alone = new.select(F.col("a").alias("id"), F.col("ca").alias("component")).union(new.select("b", "cb")).distinct()
-        found = found.union(alone).distinct().join(joined, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
-        found = stage(found, "found")
+        rows = _branch(crowd.join(classes.select("set_id", "tokens"), "set_id"))
+    if crowd is not None and not crowd.isEmpty():
+        links = stage(_across(crowd, sets), "links")
+        label = _joined(label, links)
     # a class's component is named by its smallest document
-    label = classes.select("set_id", "doc_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    label = _named(classes.select("set_id", "doc_id"), label)
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "component").select("set_id", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")

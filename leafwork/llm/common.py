@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from leafwork.session import ship
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,25 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage ends here and lost executors cost nothing."""
+    """Writes df as Parquet into the shared folder and reads it again: lineage ends here and lost executors cost nothing.
+
+    The shuffle files of that one job go as it ends (Spark's own clean-up of a finished query); what reads the table
+    later doesn't need them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs now, not at the driver's next garbage collection."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a staged table that is read no more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that are read no more."""
+    for df in tables:
+        if df is None:
+            continue
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -110,9 +118,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours meet the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), "m").union(low.select("u", "m"))
-        after = stage(small.filter("u <> m").select(F.col("m").alias("a"), F.col("u").alias("b")).distinct(), "edges")
+        before, after = pairs, stage(small.filter("u <> m").select(F.col("m").alias("a"), F.col("u").alias("b")).distinct(), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         pairs = after
+        discard(before)
         if seen is not None and tuple(mark) == seen:
             break
         seen = tuple(mark)

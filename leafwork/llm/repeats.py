@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafwork.llm.common import discard, release, small_batches, stage
+from leafwork.llm.common import discard, small_batches, stage
 from leafwork.llm.suffixes import suffix_array
 from leafwork.llm.textbytes import BASE, BYTE, U, buffers, chunks, mix, powers
 
@@ -181,23 +181,18 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     mine = lambda d, k: F.col("key").eqNullSafe(F.col(k)) & F.col("doc_id").eqNullSafe(F.col(d))
     texts = docs.join(single, mine("_d", "_k"), "left_semi")
     marked = stage(_marked(texts, length), "anchors")
-    release(spark)
     each = marked.select("doc_id", "key", F.explode(F.arrays_zip("gram", "content", "meta")).alias("a")).select("doc_id", "key", "a.*")
     grams = each.groupBy("gram").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y")).filter("n > 1")
     grams = stage(grams.select("gram", F.expr("x <> y").alias("several")), "grams")
-    release(spark)
     met = stage(each.join(grams, "gram"), "met")
     discard(marked)
-    release(spark)
     spot = F.struct(least_id.alias("d"), F.col("meta").alias("m"), F.col("key").alias("k"))  # the place leads in meta
     first = stage(met.groupBy("gram", "content", "several").agg(F.min(spot).alias("first")), "first")
-    release(spark)
     later = met.join(first.select("gram", "content", "first"), ["gram", "content"])
     later = later.filter((least_id != F.col("first.d")) | (F.shiftright("meta", 16) != F.shiftright("first.m", 16)))
     place = F.shiftright("meta", 16)
     equal = stage(later.select("doc_id", "key", (place - F.expr("(meta >> 8) & 255")).alias("lo"), (place - F.expr("meta & 255") + length).alias("hi")), "equal")
     discard(met)
-    release(spark)
     # the first slices of grams that have several, cut from their texts
     some = first.filter("several").select("gram", F.col("first.d").alias("_d"), F.col("first.k").alias("_k"), F.col("first.m").alias("meta"))
     many = some.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
@@ -231,7 +226,6 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     differing = slices.groupBy("bucket").applyInArrow(sort, "doc_id long, key long, lo long, hi long")
     differing = stage(differing, "differing")
     discard(first)
-    release(spark)
     spans = equal.union(differing)
     parts = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))  # bounded by the text
     return parts.unionByName(whole)

@@ -15,11 +15,12 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, queries, repeats, routing, rules, urls
 from leafwork.llm.common import components, prefix
-from leafwork.llm.encoder import Encoder
+from leafwork.llm.encoder import Encoder, _classes, encoder
 from leafwork.llm.queries import TOKENIZER, URL_RULES
 from leafwork.llm.suffixes import suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LIBRARY = {}
 LONG = "palavra longa de teste " * 6000
 
 
@@ -58,8 +59,7 @@ def test_pack_bits(bits):
 
 def test_packed_files(spark, odd, tmp_path):
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
-    got = bitpack.round_trip(odd, TOKENIZER).orderBy("start").collect()
+    got = bitpack.round_trip(odd, TOKENIZER, added=True).orderBy("start").collect()
     start = 0
     for r, (i, t) in zip(got, sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), strict=True):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -82,6 +82,28 @@ def test_encoder_with_nul():
         assert ids[ends[i] : ends[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+_PIECES = st.sampled_from([*"abst're vldm \n\t\r\"!.12é日ñ\x85\u180e\x1c\x1f\0\u00a0\u2028²½𝑓", "'re", "'ll", " 's", "  ", "\u0558", "\u088f", "<|endoftext|>", "<|endoftext", "|>"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.lists(_PIECES, max_size=12).map("".join), st.text(max_size=12), st.none()), max_size=6), st.booleans())
+def test_encoder_is_the_library(texts, added):
+    """Any texts have the ids of the library's plain call, and of its call with special strings taken as text."""
+    tok = _LIBRARY.setdefault(added, Tokenizer.from_file(TOKENIZER))
+    tok.encode_special_tokens = not added
+    ids, ends = encoder(TOKENIZER, added).encode(texts)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(ends)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_knows_the_librarys_classes():
+    """Letters, numbers, white space and others are told apart as by the library; unassigned code points go to it."""
+    split, kind = Tokenizer.from_file(TOKENIZER).pre_tokenizer, _classes()
+    for c in [*range(0x3100), *range(0x3100, 0x110000, 37)]:
+        if not 0xD800 <= c < 0xE000 and kind[c] != 4:
+            starts = {a for _, (a, _) in split.pre_tokenize_str(f"a{chr(c)}1{chr(c)}!{chr(c)} ")}
+            assert kind[c] == (0 if 1 not in starts else 1 if 3 not in starts else 2 if 5 not in starts else 3), hex(c)
+
+
 def test_added_tokens_in_texts(spark, odd, tmp_path):
     """The queries' ids are those of the unmodified library, with <|endoftext|> in a text as its own id."""
     tok = Tokenizer.from_file(TOKENIZER)
@@ -102,8 +124,7 @@ def test_added_tokens_in_texts(spark, odd, tmp_path):
 
 def test_packing(spark, odd):
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
-    got = packing.pack(odd, TOKENIZER, full=64).orderBy("sequence_id", "offset").collect()
+    got = packing.pack(odd, TOKENIZER, full=64, added=True).orderBy("sequence_id", "offset").collect()
     by = {}
     for r in got:
         assert r.offset == by.get(r.sequence_id, 0) and zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
@@ -143,7 +164,7 @@ def _near_rows():
     return rows + [(len(rows) + 100, rows[0][1].upper())]
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 4, "levels": 1, "rounds": 1}])
+@pytest.mark.parametrize("options", [{}, {"small": 4, "levels": 1}, {"small": 4, "levels": 2}])
 def test_near_duplicates(spark, odd, options):
     df = odd.select("doc_id", "text", "kept").unionByName(spark.createDataFrame(_near_rows(), "doc_id long, text string").withColumn("kept", F.lit(False)))
     rows = [(r.doc_id, r.text) for r in df.collect()]
