@@ -10,6 +10,8 @@ from __future__ import annotations
 S = r"[\s\x{000B}\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]"
 #: The inside of that class, to build others.
 S_IN = S[1:-1]
+#: The same characters one by one.
+BLANKS = " \t\n\v\f\r\x85\xa0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u3000"
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
 
@@ -72,7 +74,8 @@ class Dialect:
         return f"((length({x}) - length(replace({x}, {self.lit(text)}, ''))) / {len(text)})" if self.spark else f"((length({x}) - length(replace({x}, {self.lit(text)}, ''))) // {len(text)})"
 
     def strip(self, x: str) -> str:
-        return self.sub(self.sub(x, f"^{S}+"), f"{S}+\\z")
+        """Without white space at its ends; only these are looked at."""
+        return f"trim(BOTH {self.lit(BLANKS)} FROM {x})" if self.spark else f"trim({x}, {self.lit(BLANKS)})"
 
     def is_upper(self, x: str) -> str:
         return f"(upper({x}) = {x} AND lower({x}) <> {x})"
@@ -92,6 +95,37 @@ class Dialect:
     def keep(self, items: str, var: str, body: str) -> str:
         return f"filter({items}, {var} -> {body})" if self.spark else f"list_filter({items}, lambda {var}: {body})"
 
+    def fold(self, items: str, start: str, acc: str, var: str, body: str) -> str:
+        """items folded from the left: body makes the next acc from acc and var."""
+        return f"aggregate({items}, {start}, ({acc}, {var}) -> {body})" if self.spark else f"list_reduce({items}, lambda {acc}, {var}: {body}, {start})"
+
+    def numbers(self, n: str) -> str:
+        """1 to n; nothing for 0."""
+        return f"filter(sequence(0, {n}), k_ -> k_ > 0)" if self.spark else f"range(1, {n} + 1)"
+
+    def at(self, items: str, k: str) -> str:
+        """The k-th item from 1, or from the end for a negative k."""
+        return f"element_at({items}, {k})" if self.spark else f"({items})[{k}]"
+
+    def append(self, items: str, x: str) -> str:
+        return f"concat({items}, array({x}))" if self.spark else f"list_append({items}, {x})"
+
+    def doubles(self) -> str:
+        """An empty array of doubles."""
+        return "CAST(array() AS ARRAY<DOUBLE>)" if self.spark else "CAST([] AS DOUBLE[])"
+
+    def gathered(self, value: str, order: str) -> str:
+        """Ordered aggregation into an array."""
+        return f"transform(array_sort(collect_list(struct({order} AS o, {value} AS v))), s -> s.v)" if self.spark else f"list({value} ORDER BY {order})"
+
+    def record(self, **fields: str) -> str:
+        return f"struct({', '.join(f'{v} AS {k}' for k, v in fields.items())})" if self.spark else "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def rows(self, *arrays: str) -> str:
+        """A row for each item of the arrays, as a column."""
+        both = f"flatten({self.array(*arrays)})"
+        return f"explode({both})" if self.spark else f"unnest({both})"
+
     def size(self, items: str) -> str:
         return f"size({items})" if self.spark else f"len({items})"
 

@@ -148,3 +148,41 @@ def indent_level(d: Dialect, x: str) -> str:
     p = rf"^({S}*)([-•*]|\d+(\.\d+)*\.){S}+"
     half = f"CAST(floor(length({d.group(x, p)}) / 2.0) AS INT)"
     return f"CASE WHEN {d.has(x, p)} THEN {half} + 1 ELSE 0 END"
+
+
+def size_groups(d: Dialect, source: str, tolerance: str = "0.5") -> str:
+    """doc_id, sizes: a document's sizes from the largest, without those within the tolerance of one that is kept."""
+    sizes = f"SELECT doc_id, {d.gathered('font_size', '-font_size')} AS own FROM (SELECT DISTINCT doc_id, font_size FROM ({source}) AS z0) AS z1 GROUP BY doc_id"
+    near = f"{d.size('acc')} > 0 AND {d.at('acc', '-1')} - x <= {tolerance}"
+    return f"SELECT doc_id, {d.fold('own', d.doubles(), 'acc', 'x', f'CASE WHEN {near} THEN acc ELSE {d.append('acc', 'x')} END')} AS sizes FROM ({sizes}) AS z2"
+
+
+def level_of_size(d: Dialect, size: str, sizes: str, tolerance: str = "0.5") -> str:
+    """The place of the first of the six largest kept sizes within the tolerance; null if there is none."""
+    fits = d.keep(d.numbers(f"least(6, {d.size(sizes)})"), "k", f"abs({size} - {d.at(sizes, 'k')}) <= {tolerance}")
+    return f"CASE WHEN {d.size(fits)} > 0 THEN {d.at(fits, '1')} END"
+
+
+def filtered(d: Dialect, source: str, valid: str) -> str:
+    """doc_id, block_idx, page_num, text, level, font_size: headings by the filter's rules.
+
+    Levels come from the sizes of the valid candidates (10 to 72 points, first of their text); every candidate with
+    valid text, outside the margins, not generic, is then looked up again, whatever its size, and the first heading of
+    each text stays. valid: SQL of doc_id, block_idx, norm of the valid candidates.
+    """
+    ok = f"length(text) BETWEEN 2 AND 200 AND {d.has('lower(text)', '[a-záéíóúàâãñ]')} AND NOT (y_ratio < 0.05 OR y_ratio > 0.92)"
+    norm = "lower(" + d.sub("text", f"{S}+", " ") + ")"
+    own = f"SELECT b.doc_id, b.font_size FROM ({source}) AS b JOIN (SELECT doc_id AS vd, block_idx AS vb FROM ({valid}) AS v0) AS v ON vd = b.doc_id AND vb = b.block_idx"
+    groups = f"SELECT doc_id AS gd, sizes FROM ({size_groups(d, own)}) AS g0"
+    cand = f"SELECT * FROM ({d.once(f'SELECT * FROM ({source}) AS c0 WHERE {ok}', norm=norm)}) AS c WHERE NOT {d.member('norm', GENERIC)}"
+    levels = f"SELECT c.*, {level_of_size(d, 'font_size', 'sizes')} AS level FROM ({cand}) AS c JOIN ({groups}) AS g ON gd = doc_id"
+    first = f"SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY block_idx) AS k FROM ({levels}) AS l WHERE level IS NOT NULL"
+    return f"SELECT doc_id, block_idx, page_num, text, CAST(level AS INT) AS level, font_size FROM ({first}) AS f WHERE k = 1"
+
+
+def filter_statistics(d: Dialect, source: str, valid: str) -> str:
+    """Per document: candidates, valid ones, headings, different levels."""
+    n = f"SELECT doc_id, count(*) AS candidates FROM ({source}) AS s GROUP BY doc_id"
+    v = f"SELECT doc_id AS vd, count(*) AS valid FROM ({valid}) AS v0 GROUP BY doc_id"
+    h = f"SELECT doc_id AS hd, count(*) AS headings, count(DISTINCT level) AS levels FROM ({filtered(d, source, valid)}) AS h0 GROUP BY doc_id"
+    return f"SELECT doc_id, candidates, coalesce(valid, 0) AS valid, coalesce(headings, 0) AS headings, coalesce(levels, 0) AS levels FROM ({n}) AS n LEFT JOIN ({v}) AS v ON vd = doc_id LEFT JOIN ({h}) AS h ON hd = doc_id"

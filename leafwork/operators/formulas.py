@@ -30,26 +30,55 @@ def _any(d: Dialect, x: str, names: str) -> str:
     return f"{d.chars(x, names)} > 0"
 
 
-def zone_thousandths(d: Dialect, t: str, font: str = "''", x0: str = "0", x1: str = "0", width: str = "595") -> str:
-    """A block's score as a mathematical zone, in thousandths; t is its text, the box in points."""
+ZONE_FONTS = ("math", "symbol", "stix", "cmmi")
+#: Without one of these characters or words no pattern, density or proportion counts.
+_ZONE_MARKS = ZONE_CHARS + "^_{}[]()/'*\\"
+_TRIG, _LOG = "sen|cos|tan|cot|sec|csc|sin|arcsen|arccos|arctan", "log|ln|lg|exp"
+
+
+def zone_marks(d: Dialect, t: str) -> dict[str, str]:
+    """Named expressions that a zone's score is made of: density, the patterns, italic, isolated; false at once for plain prose."""
     g = "a-zA-Z0-9" + GREEK_LOWER
+    gate = f"({d.chars(t, _ZONE_MARKS)} > 0 OR {d.has(t, word(f'{_TRIG}|{_LOG}|lim'), fold=True)} OR {d.has(t, f'[{ITALIC}]')})"
     total = f"length(replace({t}, ' ', ''))"
     italic = d.count(t, f"[{ITALIC}]")
-    density = f"(({d.chars(t, ZONE_CHARS)} + {italic} + {d.chars(t, '^_{}[]()/')} * 0.5) / nullif({total}, 0))"
-    letters = f"({d.count(t, r'\p{L}')})"
     ops = f"({d.chars(t, ZONE_CHARS + '*/^_()[]{}')})"
-    ratio = f"({ops} * 1.0 / nullif({letters} + {d.count(t, r'[0-9]')} + {ops}, 0))"
-    patterns = [
-        (rf"[{g}]+{S}*/{S}*[{g}]+", 250), (rf"[{g}()]+{S}*[=<>≤≥≠]{S}*[{g}()]+", 300), (rf"(^|{NW})(f|g|h|y){S}*\({S}*[a-zA-Z]{S}*\){S}*=", 350), (r"√|\\sqrt", 300),
-        (rf"[a-zA-Z0-9]{S}*[\^²³⁴⁵⁶⁷⁸⁹]", 200), (rf"[a-zA-Z]{S}*[₀₁₂₃₄₅₆₇₈₉ₐₑₒₓₙ]", 200), ("[∑∏∫]", 350), (rf"(^|{NW})lim(_|{NW}|\z)", 300),
-        (r"[∈∉⊂⊃∩∪]|\\in|\\subset", 250), (rf"[a-zA-Z]'{S}*\(|d[a-zA-Z]/d[a-zA-Z]|∂", 300), (f"[{ITALIC}]", 200),
-    ]
-    terms = [(d.has(t, p), str(v)) for p, v in patterns]
-    terms += [(d.has(t, word("sen|cos|tan|cot|sec|csc|sin|arcsen|arccos|arctan"), fold=True), "250"), (d.has(t, word("log|ln|lg|exp"), fold=True), "200"), (f"{italic} > 0", "200")]
-    terms += [(f"contains({font}, 'math') OR contains({font}, 'symbol') OR contains({font}, 'stix') OR contains({font}, 'cmmi')", "300")]
-    terms += [(f"abs(({x0} + {x1}) / 2 - {width} / 2.0) < {width} * 0.15 AND {x1} - {x0} < {width} * 0.6", "100"), (f"{total} >= 3 AND coalesce({ratio} BETWEEN 0.1 AND 0.6, FALSE)", "150")]
-    dense = f"CASE WHEN coalesce({density}, 0) >= 0.15 THEN CAST(floor({density} * 400) AS INT) ELSE 0 END"
-    return f"CASE WHEN length({t}) < 2 THEN 0 ELSE {d.total(terms)} + {dense} END"
+    isolated = f"{total} >= 3 AND coalesce({ops} * 1.0 / nullif({d.count(t, r'[\p{L}0-9]')} + {ops}, 0) BETWEEN 0.1 AND 0.6, FALSE)"
+    patterns = {
+        "fraction": d.has(t, rf"[{g}]+{S}*/{S}*[{g}]+"), "equation": d.has(t, rf"[{g}()]+{S}*[=<>≤≥≠]{S}*[{g}()]+"), "call": d.has(t, rf"(^|{NW})(f|g|h|y){S}*\({S}*[a-zA-Z]{S}*\){S}*="), "sqrt": d.has(t, r"√|\\sqrt"),
+        "power": d.has(t, rf"[a-zA-Z0-9]{S}*[\^²³⁴⁵⁶⁷⁸⁹]"), "subscript": d.has(t, rf"[a-zA-Z]{S}*[₀₁₂₃₄₅₆₇₈₉ₐₑₒₓₙ]"), "sum_prod": d.has(t, "[∑∏∫]"), "limit": d.has(t, rf"(^|{NW})lim(_|{NW}|\z)"),
+        "trig": d.has(t, word(_TRIG), fold=True), "log": d.has(t, word(_LOG), fold=True), "set_notation": d.has(t, r"[∈∉⊂⊃∩∪]|\\in|\\subset"), "derivative": d.has(t, rf"[a-zA-Z]'{S}*\(|d[a-zA-Z]/d[a-zA-Z]|∂"),
+        "italic": f"{italic} > 0",
+    }
+    made = {f"z_{k}": f"CASE WHEN {gate} THEN {v} ELSE FALSE END" for k, v in (patterns | {"isolated": isolated}).items()}
+    made["z_density"] = f"CASE WHEN {gate} THEN coalesce(({d.chars(t, ZONE_CHARS)} + {italic} + {d.chars(t, '^_{}[]()/')} * 0.5) / nullif({total}, 0), 0.0) ELSE 0.0 END"
+    return made
+
+
+#: What each mark counts, in thousandths; italic counts as a pattern and as a range.
+ZONE_POINTS = {
+    "fraction": 250, "equation": 300, "call": 350, "sqrt": 300, "power": 200, "subscript": 200, "sum_prod": 350, "limit": 300, "trig": 250, "log": 200, "set_notation": 250, "derivative": 300, "italic": 400, "isolated": 150,
+}
+
+
+def zones(d: Dialect, source: str, width: str = "612", least: int = 0) -> str:
+    """The rows of source (text, font, x0, x1) with score in thousandths (uncapped), confidence (at most 1000), zone_type and hints.
+
+    zone_type: display for what stands in the middle and fills less than 60 % of the page's width, else equation, fraction
+    or inline. Rows below `least` are left out.
+    """
+    marked = d.once(source, **zone_marks(d, "text"))
+    centred = f"(abs((x0 + x1) / 2 - {width} / 2.0) < {width} * 0.15 AND x1 - x0 < {width} * 0.6)"
+    fonts = "(" + " OR ".join(f"contains(lower(font), '{f}')" for f in ZONE_FONTS) + ")"
+    terms = [(f"z_{k}", str(v)) for k, v in ZONE_POINTS.items()] + [(fonts, "300"), (centred, "100"), ("z_density >= 0.15", "CAST(floor(z_density * 400) AS INT)")]
+    kind = f"CASE WHEN {centred} THEN 'display' WHEN z_equation THEN 'equation' WHEN z_fraction THEN 'fraction' ELSE 'inline' END"
+    named = [("z_density >= 0.15", "math_density"), (fonts, "math_font"), *((f"z_{k}", f"pattern:{'function' if k == 'call' else k}") for k in ZONE_POINTS if k not in ("italic", "isolated"))]
+    named += [("z_italic", "pattern:unicode_math"), (centred, "centered"), ("z_italic", "unicode_math_chars"), ("z_isolated", "isolated_expression")]
+    hints = d.join(d.keep(d.array(*(f"CASE WHEN {c} THEN '{n}' ELSE '' END" for c, n in named)), "h", "h <> ''"), " ")
+    own = ", ".join(f"CASE WHEN length(trim(text)) < 2 THEN {zero} ELSE {made} END AS {name}" for name, made, zero in (("score", d.total(terms), "0"), ("zone_type", kind, "'inline'"), ("hints", hints, "''")))
+    scored = f"SELECT *, {own} FROM ({marked}) AS m"
+    columns = "doc_id, page_num, block_idx, text, x0, x1"
+    return f"SELECT {columns}, score, least(score, 1000) AS confidence, zone_type, hints FROM ({scored}) AS s WHERE score >= {least}"
 
 
 def features(d: Dialect, t: str) -> dict[str, str]:
@@ -180,3 +209,41 @@ def merged_regions(source: str) -> str:
     r = f"SELECT *, max(e) OVER (PARTITION BY grp ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ({source}) AS a"
     i = f"SELECT *, sum(CASE WHEN s <= upto THEN 0 ELSE 1 END) OVER (PARTITION BY grp ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM ({r}) AS b"
     return f"SELECT grp, min(s) AS s, max(e) AS e, max(conf) AS conf FROM ({i}) AS c GROUP BY grp, island"
+
+
+# Words and signs that a formula's text is spelled with.
+TEXT_LATEX = {w: "\\" + w for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega".split()}
+TEXT_FUNCTIONS = {"sen": r"\sin", "cos": r"\cos", "tan": r"\tan", "tg": r"\tan", "log": r"\log", "ln": r"\ln", "exp": r"\exp", "lim": r"\lim", "max": r"\max", "min": r"\min"}
+TEXT_SIGNS = {c: LATEX[c] for c in "∞∑∏∫∂∇±×÷≤≥≠≈∈∉⊂⊃∪∩→←"} | {"√": r"\sqrt", "↔": r"\leftrightarrow"}
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"  # fences: code points that no text holds
+
+
+def text_latex(d: Dialect, x: str) -> str:
+    """Text as LaTeX: names of letters (capitalised names as capitals) and functions, signs, scripts one by one, fractions
+    of numbers or single letters, powers and indices in braces."""
+    x = d.sub(x, f"({W}+)", rf"{_OPEN}\1{_SHUT}")
+    for w, t in (TEXT_LATEX | {w.capitalize(): "\\" + w.capitalize() for w in TEXT_LATEX} | TEXT_FUNCTIONS).items():
+        x = f"replace({x}, {d.lit(_OPEN + w + _SHUT)}, {d.lit(t)})"
+    x = f"translate({x}, {d.lit(_OPEN + _SHUT)}, '')"
+    for c, t in TEXT_SIGNS.items():
+        x = f"replace({x}, {d.lit(c)}, {d.lit(t)})"
+    for names, mark in (("₀₁₂₃₄₅₆₇₈₉", "_"), ("⁰¹²³⁴⁵⁶⁷⁸⁹", "^")):
+        for k, c in enumerate(names):
+            x = f"replace({x}, {d.lit(c)}, {d.lit(f'{mark}{{{k}}}')})"
+    x = d.sub(x, rf"([0-9]+|{W}){S}*/{S}*([0-9]+|{W})", r"\frac{\1}{\2}")
+    return d.sub(d.sub(x, r"\^([0-9]+)", r"^{\1}"), r"_([0-9]+)", r"_{\1}")
+
+
+def equation_block(d: Dialect, latex: str, label: str) -> str:
+    """An equation between $$, its number (null: none) behind it."""
+    return f"CASE WHEN {label} IS NULL THEN concat('$$', {latex}, '$$') ELSE concat('$$', {latex}, {d.lit(' ' + chr(92) + 'quad (')}, {label}, ')$$') END"
+
+
+def joined_fragments(d: Dialect, text: str, n: str) -> str:
+    """A formula of n fragments joined by spaces: as variable = expression, or as a fraction, where it reads so."""
+    equation, over = rf"([A-Za-z_]{W}*){S}*[=:]{S}*([^\n]+)", rf"([^{S_IN}]+){S}*[/÷]{S}*([^{S_IN}]+)"
+    side = lambda k: d.group(text, over, k)
+    return (
+        f"CASE WHEN {n} <= 1 THEN {text} WHEN {d.has(text, equation)} THEN concat({d.group(text, equation, 1)}, ' = ', {d.strip(d.group(text, equation, 2))})"
+        f" WHEN {d.has(text, over)} THEN concat({d.lit(chr(92) + 'frac{')}, {side(1)}, '}}{{', {side(2)}, '}}') ELSE {text} END"
+    )

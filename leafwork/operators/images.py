@@ -5,10 +5,19 @@ images: doc_id, page_num, img_no, path, md5, x0, y0, x1, y1, std_mean (mean chan
 
 from __future__ import annotations
 
-from leafwork.functions.dialect import Dialect, S
+import re
+
+from pyspark.sql import DataFrame, functions as F
 
-# The words for figures and their kinds, and a page's default size.
-REFERENCES = [("figura", "figura"), ("fig\\.", "figura"), ("figure", "figure"), ("fig\\.", "figure"), ("tabela", "tabela"), ("tab\\.", "tabela"), ("table", "table"), ("quadro", "quadro")]
+from leafwork.functions.dialect import Dialect, S
+from leafwork.operators.notation import python_column
+
+# The words for figures and their kinds, the words by which an image's page is known, and a page's default size.
+REFERENCES = [
+    (r"figura|fig\.?", "figura"), (r"tabela|tab\.?", "tabela"), (r"imagem|img\.?", "imagem"), (r"gráfico|gráf\.?", "gráfico"), (r"figure|fig\.?", "figure"), (r"table|tbl\.?", "table"), (r"image|img\.?", "image"), ("chart|graph", "chart"),
+]
+MENTIONS = [r"figura|fig\.?", r"tabela|tab\.?", r"imagem|img\.?", r"gráfico|gráf\.?", r"chart|figure|fig\.?", r"table|tbl\.?", r"image|img\.?"]
+_HINT = r"(fig|tab|im|gr|chart|tbl)[^\d]*\d"  # what any of them holds; a line without it has none
 PAGE_WIDTH, PAGE_HEIGHT = 595, 850
 
 
@@ -42,19 +51,44 @@ def numbered(images: str) -> str:
 
 
 def unique_images(images: str, least: int = 2, across: bool = True) -> str:
-    """Images whose bytes occur fewer than `least` times; a repeated image goes with all its copies, in the whole set or per document."""
-    part = "md5" if across else "doc_id, md5"
-    return f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {part}) AS copies FROM ({images}) AS i) AS c WHERE copies < {least}"
+    """Images whose bytes occur fewer than `least` times; a repeated image goes with all its copies, in the whole set or per document.
+
+    Hashes are counted with partial sums and the repeated ones taken out, so the copies of one image never meet in a task.
+    """
+    key = "md5" if across else "doc_id, md5"
+    same = "rm = md5" if across else "rm = md5 AND rd = doc_id"
+    often = f"SELECT {key.replace('doc_id', 'doc_id AS rd').replace('md5', 'md5 AS rm')} FROM ({images}) AS i0 WHERE md5 IS NOT NULL GROUP BY {key} HAVING count(*) >= {least}"
+    return f"SELECT i.* FROM ({images}) AS i LEFT JOIN ({often}) AS o ON {same} WHERE rm IS NULL"
 
 
 def references(d: Dialect, source: str) -> str:
-    """doc_id, block_idx, ref_type, ref_number: each reference in the text, once for each pattern that names it."""
-    per = []
-    for n, (p, k) in enumerate(REFERENCES):
-        found = d.all("text", rf"{p}{S}*(\d+)", 1, fold=True)
-        num = f"explode({found})" if d.spark else f"unnest({found})"
-        per.append(f"SELECT doc_id, block_idx, {d.lit(k)} AS ref_type, {n} AS pattern_no, {num} AS ref_number FROM ({source}) AS r{n} WHERE {d.has('text', rf'{p}{S}*\d+', fold=True)}")
-    return f"SELECT doc_id, block_idx, ref_type, pattern_no, CAST(right(concat('0', ref_number), 9) AS INT) AS ref_number FROM ({' UNION ALL '.join(per)}) AS a"
+    """doc_id, block_idx, ref_type, pattern_no, ref_number: each reference in the text, once for each pattern that names it."""
+    found = [d.each(d.all("text", rf"({p}){S}+(\d+)", 2, fold=True), "m", d.record(kind=d.lit(k), no=str(n), num="m")) for n, (p, k) in enumerate(REFERENCES)]
+    rows = f"SELECT doc_id, block_idx, {d.rows(*found)} AS r FROM ({source}) AS s WHERE {d.has('text', _HINT, fold=True)}"
+    return f"SELECT doc_id, block_idx, r.kind AS ref_type, r.no AS pattern_no, CAST(right(concat('0', r.num), 9) AS INT) AS ref_number FROM ({rows}) AS a"
+
+
+def mentions_by_word(d: Dialect, source: str) -> str:
+    """doc_id, block_idx, word, numbers: the different numbers after each word for a figure, in the order found."""
+    found = [d.each(d.all("text", rf"(({p}){S}+\d+)", 1, fold=True), "m", d.record(no=str(n), m="m")) for n, p in enumerate(MENTIONS)]
+    rows = f"SELECT doc_id, block_idx, text, {d.rows(*found)} AS r FROM ({source}) AS s WHERE {d.has('text', _HINT, fold=True)}"
+    number = f"CAST(right(concat('0', {d.group('r.m', r'([0-9]+)\z')}), 9) AS BIGINT)"
+    word = f"lower({d.group('r.m', f'^([^{S[1:-1]}]+)')})"
+    named = f"SELECT doc_id, block_idx, {word} AS word, {number} AS number, r.no * 100000 + instr(text, r.m) AS place FROM ({rows}) AS a"
+    # by pattern, then by place in the line
+    first = f"SELECT doc_id, block_idx, word, number, CAST(min(place) AS BIGINT) * 1000000000 + number AS place FROM ({named}) AS n GROUP BY doc_id, block_idx, word, number"
+    text = "CAST(number AS STRING)" if d.spark else "CAST(number AS VARCHAR)"
+    return f"SELECT doc_id, block_idx, word, {d.gather(text, 'place', d.lit(' '))} AS numbers FROM ({first}) AS f GROUP BY doc_id, block_idx, word"
+
+
+def mapped(maps: str) -> str:
+    """The last path given to each (doc_id, ref_type, ref_number) of maps (those, path, seq)."""
+    return f"SELECT doc_id, ref_type, ref_number, path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ref_type, ref_number ORDER BY seq DESC) AS k FROM ({maps}) AS m) AS n WHERE k = 1"
+
+
+def looked_up(refs: str, maps: str) -> str:
+    """References with the path given to them last; null where there is none."""
+    return f"SELECT r.doc_id, r.ref_type, r.ref_number, path FROM ({refs}) AS r LEFT JOIN (SELECT doc_id AS md, ref_type AS mt, ref_number AS mn, path FROM ({mapped(maps)}) AS m0) AS m ON md = r.doc_id AND mt = r.ref_type AND mn = r.ref_number"
 
 
 def assigned(refs: str, images: str) -> str:
@@ -90,8 +124,9 @@ def linked_paths(d: Dialect, x: str) -> str:
 
 def job_stats(images: str) -> str:
     """Per document: images found, of one colour, duplicates over all documents, left."""
-    c = f"SELECT *, count(*) OVER (PARTITION BY md5) AS copies, coalesce(std_mean < 10, FALSE) AS solid FROM ({images}) AS i"
-    return f"SELECT doc_id, count(*) AS found, sum(CASE WHEN solid THEN 1 ELSE 0 END) AS solid, sum(CASE WHEN NOT solid AND copies > 1 THEN 1 ELSE 0 END) AS duplicates, sum(CASE WHEN NOT solid AND copies = 1 THEN 1 ELSE 0 END) AS final FROM ({c}) AS c GROUP BY doc_id"
+    often = f"SELECT md5 AS rm FROM ({images}) AS i0 WHERE md5 IS NOT NULL GROUP BY md5 HAVING count(*) > 1"
+    c = f"SELECT i.*, rm IS NOT NULL AS again, coalesce(std_mean < 10, FALSE) AS solid FROM ({images}) AS i LEFT JOIN ({often}) AS o ON rm = md5"
+    return f"SELECT doc_id, count(*) AS found, sum(CASE WHEN solid THEN 1 ELSE 0 END) AS solid, sum(CASE WHEN NOT solid AND again THEN 1 ELSE 0 END) AS duplicates, sum(CASE WHEN NOT solid AND NOT again THEN 1 ELSE 0 END) AS final FROM ({c}) AS c GROUP BY doc_id"
 
 
 def magic_type(d: Dialect, x: str) -> str:
@@ -106,3 +141,41 @@ def formula_image(bw: str = "bw_share") -> str:
         f"CASE WHEN {bw} > 0.9 THEN 30 ELSE 0 END", "CASE WHEN w * h BETWEEN 1000 AND 100000 THEN 15 ELSE 0 END",
     ]
     return f"CASE WHEN w BETWEEN 30 AND 1600 AND h BETWEEN 20 AND 600 THEN {' + '.join(terms)} ELSE 0 END"
+
+
+_PATTERNS = [(re.compile(rf"(?:{p})\s+(\d+)", re.IGNORECASE), k) for p, k in REFERENCES]
+
+
+def find_references(text: str | None) -> list[tuple[str, int, int, str]]:
+    """(kind, number, position, snippet of 50 characters around it) of a text's references, pattern by pattern."""
+    text = text or ""
+    return [(k, int(m[1]), m.start(), text[max(0, m.start() - 50) : m.end() + 50]) for p, k in _PATTERNS for m in p.finditer(text)]
+
+
+def injected(text: str, paths: dict[tuple[str, int], str]) -> str:
+    """The text with each mapped reference's image after the next full stop or line end behind it."""
+    for kind, number, at, _ in sorted(find_references(text), key=lambda r: -r[2]):
+        path = paths.get((kind, number))
+        if path:
+            at += len(f"{kind} {number}")
+            end = re.search(r"[.\n]", text[at:])
+            at += end.end() if end else 0
+            text = f"{text[:at]}\n\n![{kind.capitalize()} {number}]({path})\n{text[at:]}"
+    return text
+
+
+def with_references(df: DataFrame, source: str = "text", out: str = "refs") -> DataFrame:
+    """Adds out, the references of a column of texts: ref_type, ref_number, position, snippet."""
+    return df.withColumn(out, python_column(df, source, find_references, "array<struct<ref_type: string, ref_number: int, position: int, snippet: string>>"))
+
+
+def inject(texts: DataFrame, maps: DataFrame) -> DataFrame:
+    """texts (doc_id, text) with the images of maps (doc_id, ref_type, ref_number, path) placed behind their references.
+
+    A document's map is gathered, bounded by its references; of several paths for one reference the last by name counts.
+    """
+    own = maps.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ref_type", "ref_number", "path"))).alias("_maps"))
+    both = texts.join(own, "doc_id", "left").withColumn("_both", F.struct("text", "_maps"))
+    place = lambda b: injected(b["text"] or "", {(m["ref_type"], m["ref_number"]): m["path"] for m in b["_maps"]}) if b and b["_maps"] else None
+    made = python_column(both, "_both", place, "string", "_maps IS NOT NULL")
+    return both.withColumn("text", F.coalesce(made, F.col("text"))).drop("_maps", "_both")

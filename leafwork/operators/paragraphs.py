@@ -20,16 +20,16 @@ _PAGE = "PARTITION BY doc_id, page_num ORDER BY block_idx"
 def without_repeats(d: Dialect, blocks: str, scope: str = "document") -> str:
     """Blocks without page furniture and without texts on max(3, 30 %) of the document's pages or more.
 
+    Pages are counted by ranks in windows over the document, so the blocks are read once and dealt out once.
+
     scope "page" judges each page alone, as the service does: no text then repeats often enough.
     """
     keyed = d.once(blocks, repeat_key=T.repeat_key(d, "text"))
     if scope == "page":
         return f"SELECT * FROM ({keyed}) AS k WHERE NOT {T.is_page_furniture(d, 'text')}"
-    pages = f"SELECT doc_id AS pd, count(DISTINCT page_num) AS pages FROM ({blocks}) AS p0 GROUP BY doc_id"
-    often = f"SELECT doc_id AS rd, repeat_key AS rk, count(DISTINCT page_num) AS n FROM ({keyed}) AS k1 GROUP BY doc_id, repeat_key HAVING count(DISTINCT page_num) >= 3"
-    repeated = f"SELECT rd, rk FROM ({often}) AS o JOIN ({pages}) AS p ON rd = pd WHERE n >= greatest(3, pages * 0.3)"
-    kept = f"SELECT * FROM ({keyed}) AS k WHERE NOT {T.is_page_furniture(d, 'text')}"
-    return f"SELECT f.* FROM ({kept}) AS f LEFT JOIN ({repeated}) AS r ON rd = doc_id AND rk = repeat_key WHERE rd IS NULL"
+    ranked = f"SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_num) AS page_rank, dense_rank() OVER (PARTITION BY doc_id, repeat_key ORDER BY page_num) AS key_rank FROM ({keyed}) AS k"
+    counted = f"SELECT *, max(page_rank) OVER (PARTITION BY doc_id) AS pages, max(key_rank) OVER (PARTITION BY doc_id, repeat_key) AS key_pages FROM ({ranked}) AS r"
+    return f"SELECT * FROM ({counted}) AS c WHERE key_pages < greatest(3, pages * 0.3) AND NOT {T.is_page_furniture(d, 'text')}"
 
 
 def marked(d: Dialect, blocks: str, scope: str = "document") -> str:

@@ -21,7 +21,11 @@ def apply(spec: Spec, **frames: DataFrame) -> DataFrame:
     for k, df in frames.items():
         names[k] = f"leafwork_{k}_{uuid.uuid4().hex[:12]}"
         df.createOrReplaceTempView(names[k])
-    return spark.sql(_TABLE.sub(lambda m: names[m[1]], spec(SPARK)))
+    try:
+        return spark.sql(_TABLE.sub(lambda m: names[m[1]], spec(SPARK)))
+    finally:
+        for name in names.values():  # the plan holds what they stood for
+            spark.catalog.dropTempView(name)
 
 
 def literal(spec: Spec) -> str:
@@ -29,6 +33,14 @@ def literal(spec: Spec) -> str:
     return _TABLE.sub(lambda m: m[1], spec(DUCK))
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A table; one that comes in fewer parts than there are cores, as a small file does, is dealt out by its first column."""
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    few = 1 < cores and table.rdd.getNumPartitions() < cores
+    return table.repartition(cores, table.columns[0]) if few else table
+
+
 def over_tables(spec: Spec) -> Callable[[SparkSession, str], DataFrame]:
     """A query callable that reads the tables which the spec names."""
     used = sorted(set(_TABLE.findall(spec(SPARK))))
@@ -36,6 +48,6 @@ def over_tables(spec: Spec) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not used:
             return spark.sql(spec(SPARK))
-        return apply(spec, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        return apply(spec, **{t: read(spark, f"{sf_dir}/{t}.parquet") for t in used})
 
     return run

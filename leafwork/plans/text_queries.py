@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafwork.functions import headings as H, lists as L, text as T
+from leafwork.functions import formatter, headings as H, lists as L, text as T
 from leafwork.functions.dialect import Dialect
 from leafwork.operators import paragraphs
 from leafwork.sources.blocks import blocks
@@ -63,8 +63,10 @@ def size_levels(d: Dialect, source: str) -> str:
 
 def scored(d: Dialect, strategy: str, source: str) -> str:
     """Blocks with score, is_heading (4 points or more) and reasons; neighbours are the document's lines before and after."""
-    body = f"SELECT doc_id AS bd, max(CASE WHEN place = 1 THEN size END) AS body FROM ({body_sizes(d, source)}) AS e0 GROUP BY doc_id"
-    near = f"SELECT s.*, body, lag(font_size) OVER (PARTITION BY doc_id ORDER BY block_idx) AS size_before, lead(font_size) OVER (PARTITION BY doc_id ORDER BY block_idx) AS size_after FROM ({source}) AS s JOIN ({body}) AS e1 ON doc_id = bd"
+    sized = f"SELECT *, {d.half_even('font_size * 2')} / 2 AS size FROM ({source}) AS e0"
+    counted = f"SELECT *, count(*) OVER (PARTITION BY doc_id, size) AS size_n, min(block_idx) OVER (PARTITION BY doc_id, size) AS size_seen FROM ({sized}) AS e1"
+    row = "OVER (PARTITION BY doc_id ORDER BY block_idx)"
+    near = f"SELECT *, first_value(size) OVER (PARTITION BY doc_id ORDER BY size_n DESC, size_seen) AS body, lag(font_size) {row} AS size_before, lead(font_size) {row} AS size_after FROM ({counted}) AS e6"
     base = ("text", "font_size", "bold", "body")
     terms = {
         "fast": lambda: H.fast_terms(d, *base), "balanced": lambda: H.balanced_terms(d, *base, "size_before", "size_after"),
@@ -124,7 +126,28 @@ def _clean_artifacts(d: Dialect) -> str:
     return f"SELECT {_KEY}, {T.clean_artifacts(d, 'cleaned')} AS kept FROM ({c}) AS c"
 
 
+def _size_groups(d: Dialect) -> str:
+    return f"SELECT doc_id, {d.size('sizes')} AS n_sizes, {d.at('sizes', '1')} AS largest, {d.at('sizes', '-1')} AS smallest FROM ({H.size_groups(d, blocks(d))}) AS g"
+
+
+def events(d: Dialect, source: str) -> str:
+    """Blocks as the formatter's events: breaks between pages, headings and items by their marks, now and then an image; a full stop ends a paragraph."""
+    span = H.span_markdown(d, "text", "font_flags", "'Times'")
+    kind = f"CASE WHEN block_idx % 17 = 11 THEN 'image' WHEN block_idx % 30 = 0 AND bold THEN 'heading' WHEN {H.indent_level(d, 'raw')} > 0 THEN 'item' ELSE 'span' END"
+    typed = d.once(source, kind=kind, item_level=H.indent_level(d, "raw"), shown=span)
+    path = "concat('images/page', CAST(page_num AS STRING), '.png')" if d.spark else "concat('images/page', CAST(page_num AS VARCHAR), '.png')"
+    own = f"SELECT doc_id, 3 * block_idx + 1 AS seq, kind, CASE WHEN kind = 'span' THEN shown ELSE text END AS text, CASE kind WHEN 'heading' THEN 2 WHEN 'item' THEN item_level ELSE 0 END AS level, CASE WHEN kind = 'image' THEN {path} END AS path FROM ({typed}) AS t"
+    ends = f"SELECT doc_id, 3 * block_idx + 2 AS seq, 'end' AS kind, '' AS text, 0 AS level, NULL AS path FROM ({source}) AS e WHERE {d.last('text')} = '.'"
+    breaks = f"SELECT doc_id, 3 * min(block_idx) AS seq, 'break' AS kind, '' AS text, 0 AS level, NULL AS path FROM ({source}) AS p GROUP BY doc_id, page_num"
+    return f"SELECT * FROM ({own}) AS o UNION ALL SELECT * FROM ({ends}) AS x UNION ALL SELECT * FROM ({breaks}) AS y"
+
+
 SPECS = {
+    "heading_size_groups": _size_groups,
+    "heading_filter_levels": lambda d: H.filtered(d, blocks(d), _heading_filter(d)),
+    "heading_filter_stats": lambda d: H.filter_statistics(d, blocks(d), _heading_filter(d)),
+    "formatter_blocks": lambda d: formatter.blocks(d, events(d, blocks(d))),
+    "formatter_markdown": lambda d: formatter.document(d, events(d, blocks(d))),
     "clean_text": per_line(("cleaned", lambda d: T.clean_text(d, "raw"))),
     "pua_to_unicode": per_line(("shown", lambda d: T.symbols_to_text(d, "raw"))),
     "page_artifacts": per_line(("kept", lambda d: T.page_artifacts(d, "raw"))),
