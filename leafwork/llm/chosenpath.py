@@ -3,7 +3,7 @@
 A set of word shingles is reduced to COORDINATES minwise tokens. A tree starts with all sets in one node; a node picks
 one coordinate, and at times a second (4/3 on average, the inverse of the threshold), by its own name, and hands each
 set to the child named by the set's token there. A node of at most SMALL sets is compared exhaustively and ends. A
-larger one, a crowd, compares its sets with two pivots. The links of a level are confirmed and components joined before
+larger one, a crowd, compares its sets with two pivots, and with one once there are components. The links of a level are confirmed and components joined before
 the next: a node whose sets are all linked is done, and of the others only pairs across components matter. What is
 still mixed branches on. Independent trees bring the recall to the target: a pair of similarity 0.75 shares a first
 child in one of 18 trees but for 0.25 ** 18. At level LEVELS branching stops, and crowds that are still mixed are
@@ -24,7 +24,7 @@ from leafwork.llm.textbytes import U, buffers, chunks, mix, words
 COORDINATES = 48
 TREES = 18
 SMALL = 24
-LEVELS = 5
+LEVELS = 4
 TILE = 256  # sets of a crowd that are compared with as many others in a task
 VOLUME = 1 << 18  # shingles that they hold at most, about
 SCREEN = 24  # of 48 tokens that agree in four bits; a pair of similarity 0.75 has 36.8 on average, deviation 2.9
@@ -79,7 +79,7 @@ def _names(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id and name (of the set; null if empty), sketch (3 longs) and tokens of every document."""
+    """doc_id, text_key (a hash of the text), n_shingles, set_id and name (of the set; null if empty), sketch (3 longs) and tokens of every document."""
     small_batches(docs.sparkSession)
 
     def sign(batches):
@@ -104,12 +104,12 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
                 set_id, name = _names(value, at)
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(set_id, mask=~full), pa.array(name, mask=~full), lists(sketch.view(np.int64), pa.int64()), lists(tokens, pa.int32())],
-                    ["doc_id", "n_shingles", "set_id", "name", "sketch", "tokens"],
+                    [doc_id.slice(a, b - a).cast(pa.int64()), batch.column("text_key").slice(a, b - a), pa.array(n, pa.int64()), pa.array(set_id, mask=~full), pa.array(name, mask=~full), lists(sketch.view(np.int64), pa.int64()), lists(tokens, pa.int32())],
+                    ["doc_id", "text_key", "n_shingles", "set_id", "name", "sketch", "tokens"],
                 )
 
-    kind = "doc_id long, n_shingles long, set_id long, name long, sketch array<bigint>, tokens array<int>"
-    return docs.select("doc_id", "text").mapInArrow(sign, kind)
+    kind = "doc_id long, text_key long, n_shingles long, set_id long, name long, sketch array<bigint>, tokens array<int>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, kind)
 
 
 def _alike_sql(a: str, b: str) -> str:
@@ -139,7 +139,7 @@ def _branch(rows: DataFrame) -> DataFrame:
     return rows.selectExpr(
         "explode(transform(IF(pmod(xxhash64(7, node), 3) = 0, array(pmod(xxhash64(11, node), {0}), pmod(xxhash64(11, node) + 1 + pmod(xxhash64(13, node), {0} - 1), {0})), array(pmod(xxhash64(11, node), {0}))),"
         " c -> xxhash64(node, c, tokens[int(c)]))) AS node".format(c),
-        "set_id", "n", "sketch",
+        "set_id", "n", "sketch", "tokens",
     )
 
 
@@ -153,7 +153,8 @@ def _named(rows: DataFrame, label: DataFrame | None) -> DataFrame:
 def _mixed(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     """The rows of nodes that hold several components, with their component, the node's members and two pivots."""
     named = _named(rows, label)
-    pivot = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), "node", "set_id").alias("h"), "component", "set_id", "n", "sketch"))
+    alone = F.col("component") == F.col("set_id")  # a linked set comes first: in a crowd it stands for most of the others
+    pivot = lambda salt: F.min(F.struct(alone.alias("alone"), F.xxhash64(F.lit(salt), "node", "set_id").alias("h"), "component", "set_id", "n", "sketch"))
     found = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), pivot(1).alias("p"), pivot(2).alias("q"))
     return named.join(found.filter("lo <> hi").select("node", "members", "p", "q"), "node")
 
@@ -161,13 +162,13 @@ def _mixed(rows: DataFrame, label: DataFrame | None) -> DataFrame:
 _FIELDS = ["set_id", "n", "sketch", "component"]
 
 
-def _pairs(met: DataFrame, small: int) -> DataFrame:
-    """a, b and their components ca, cb: screened pairs across components, all of a small node's and a crowd's with its pivots."""
+def _pairs(met: DataFrame, small: int, pivots: str) -> DataFrame:
+    """a, b and their components ca, cb: screened pairs across components, all of a small node's and a crowd's with its pivots (p, q)."""
     few = met.filter(F.col("members") <= small).groupBy("node").agg(F.sort_array(F.collect_list(F.struct(*_FIELDS))).alias("m")).select(F.posexplode("m").alias("i", "x"), "m")
     # pairs that fail are never made rows of their own
     few = few.select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), y -> x.component <> y.component AND {_alike_sql('x', 'y')})")).alias("y"))
     star = met.filter(F.col("members") > small).select(F.struct(*_FIELDS).alias("x"), "p", "q")
-    star = star.select("x", F.explode(F.expr(f"filter(array(p, q), y -> x.component <> y.component AND {_alike_sql('x', 'y')})")).alias("y"))
+    star = star.select("x", F.explode(F.expr(f"filter(array({pivots}), y -> x.component <> y.component AND {_alike_sql('x', 'y')})")).alias("y"))
     both = few.select("x.*", F.struct("y.set_id", "y.component").alias("y")).union(star.select("x.*", F.struct("y.set_id", "y.component").alias("y")))
     return _ordered(both.selectExpr("set_id AS a", "y.set_id AS b", "component AS ca", "y.component AS cb"))
 
@@ -183,7 +184,7 @@ def _across(crowd: DataFrame, sets: DataFrame, tile: int = TILE, volume: int = V
     A node's sets are dealt into tiles, each pair of tiles is a task's work of bounded size, and only links leave it.
     """
     size = crowd.groupBy("node").agg(F.expr(f"int(greatest(ceil(count(*) / {tile}), ceil(sum(n) / {volume})))").alias("tiles"))
-    own = crowd.join(size, "node").withColumn("tile", F.expr("int(pmod(xxhash64(3, set_id), tiles))")).join(sets, "set_id")
+    own = crowd.drop("sketch", "tokens").join(size, "node").withColumn("tile", F.expr("int(pmod(xxhash64(3, set_id), tiles))")).join(sets, "set_id")
     own = own.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select("node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "set_id", "component", "shingles")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -281,6 +282,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int
     texts are copies of one set. A null doc_id is never a component's smallest id unless all its ids are null; only
     then are such rows kept. Other columns are left aside. An empty table has no rows.
     """
+    found = groups(docs, k, trees, small, levels)
+    return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs (doc_id, text and others) without near-duplicates: one row of each group, that of the smallest
+    doc_id (null last; of several texts with it, one by a hash; of repeated rows, any). Rows without words all stay."""
+    found = groups(docs, **options)
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    first = found.filter("n_shingles > 0").groupBy("component").agg(F.min_by(F.struct("doc_id", "text_key"), F.struct(last, "text_key")).alias("f"))
+    kept = stage(first.select("f.doc_id", "f.text_key").union(found.filter("n_shingles = 0").select("doc_id", "text_key").distinct()), "kept")
+    again = found.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
+    again = stage(again, "again")
+    columns = [F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_x")]
+    match = lambda t: F.col("_d").eqNullSafe(t["doc_id"]) & (F.col("_x") == t["text_key"])
+    rows = docs.select(*columns).join(kept, F.col("_d").eqNullSafe(kept["doc_id"]) & (F.col("_x") == kept["text_key"]), "left_semi")
+    if again.isEmpty():
+        return rows.select("row.*")
+    once = rows.join(again, match(again), "left_semi").groupBy("_d", "_x").agg(F.first("row").alias("row")).select("row.*")
+    return rows.join(again, match(again), "left_anti").select("row.*").union(once)
+
+
+def groups(docs: DataFrame, k: int = 5, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
+    """doc_id, text_key, n_shingles, component (a name of its own; null without words) and component_id of every row."""
     signed = stage(signatures(docs, k), "signatures")
     classes = _classes(signed)
     clash = classes.filter("name <> _other").select("set_id")
@@ -294,25 +319,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, trees: int = TREES, small: int
     for level in range(levels):
         last, met = crowd, stage(_mixed(rows, label), "met")
         discard(last)
-        pairs = stage(_pairs(met, small), "pairs")
-        crowd = met.filter(F.col("members") > small).select("node", "set_id", "n", "sketch")
+        pairs = stage(_pairs(met, small, "p, q" if label is None else "p"), "pairs")
+        crowd = met.filter(F.col("members") > small).drop("component", "members", "p", "q")
         if sets is None:  # whoever may be compared later is in a pair or a crowd of the first level
             wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowd.select("set_id")).distinct()
             sets = stage(full_sets(docs, classes.join(wanted, "set_id").select("set_id", "name", "doc_id"), k), "sets")
         links = stage(confirm(pairs, sets), "links")
         label = _joined(label, links)
-        crowd = stage(_mixed(crowd, label).select("node", "set_id", "n", "sketch", "component"), "crowd")
+        crowd = _mixed(crowd, label).drop("members", "p", "q")
+        crowd = stage(crowd if "tokens" in crowd.columns else crowd.join(classes.select("set_id", "tokens"), "set_id"), "crowd")
         discard(met, pairs, links)
         if crowd.isEmpty():
             break
-        rows = _branch(crowd.join(classes.select("set_id", "tokens"), "set_id"))
+        rows = _branch(crowd)
     if crowd is not None and not crowd.isEmpty():
         links = stage(_across(crowd, sets), "links")
         label = _joined(label, links)
     # a class's component is named by its smallest document
     label = _named(classes.select("set_id", "doc_id"), label)
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(least, "component").select("set_id", "component_id")
-    out = signed.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    label = label.join(least, "component").select("set_id", "component", "component_id")
+    out = signed.select("doc_id", "text_key", "n_shingles", "set_id").join(label, "set_id", "left")
+    return out.select("doc_id", "text_key", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
