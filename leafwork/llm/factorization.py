@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
     got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     y = got.column("y").to_numpy()
     n = len(y)
-    prior = (y.sum() + 1) / (n + 2)
+    prior = (y.sum() + 0.1) / (n + 1)  # 0.1 where nothing is labelled
     b = float(np.log(prior / (1 - prior)))
     none = Machine(bits, b, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     if n == 0 or y.min() == y.max():
@@ -147,7 +147,11 @@ def descend(k: np.ndarray, at: np.ndarray, y: np.ndarray, size: int, b: float, f
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
-    """Adds held_out and score (0 to 1) to docs (doc_id, text); a null or empty text has the score of no terms."""
+    """Adds held_out and score (0 to 1) to docs (doc_id, text); a null or empty text has the score of no terms.
+
+    Rows that repeat are scored alike, an empty table stays empty. Columns held_out and score in docs are replaced, all
+    others stay, whatever their names.
+    """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: at most 2**bits buckets
 

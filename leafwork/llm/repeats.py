@@ -11,7 +11,8 @@ alone: two equal strings have the same gram at the same offset. The strings of o
    are sorted in buckets of grams by the linear grouping of suffixes.py; a run of suffixes that share the blocks of a
    string and the bytes at its ends is a set of equal strings, and all but the first are repeated.
 
-A gram with more than HOT first slices has its strings dealt out one by one, by their content, through the same step.
+A gram with more than HOT first slices would make too large a bucket: its strings are named by 128 bits each, and the
+first of each name is found by a grouping with partial results, so no string meets all its copies in a task.
 The suffix arrays run over blocks of such slices alone: in Python, bytes of the whole corpus would take far longer.
 """
 
@@ -172,9 +173,11 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """doc_id, key, spans (array of start, end in bytes) of docs (doc_id, key, text): what strings that start earlier cover."""
     spark = docs.sparkSession
     least_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    firsts = docs.groupBy("key").agg(F.min(least_id).alias("first"))
-    names = docs.select("doc_id", "key", F.octet_length("text").alias("n")).distinct()
-    named = stage(names.join(firsts, "key").withColumn("copy", least_id > F.col("first")), "names")
+    # equal texts by their whole SHA-256: no two different ones share it; key, a part of another hash, tells a document's rows apart
+    digest = F.unhex(F.sha2("text", 256))
+    names = docs.select("doc_id", "key", F.octet_length("text").alias("n"), digest.alias("digest")).distinct()
+    firsts = docs.select("doc_id", digest.alias("digest")).groupBy("digest").agg(F.min(least_id).alias("first"))
+    named = stage(names.join(firsts, "digest").withColumn("copy", least_id > F.col("first")).drop("digest"), "names")
     whole = named.filter(f"copy AND n >= {length}").select("doc_id", "key", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"))).alias("spans"))
     # the first document of every text that has others, or is long enough to hold a string
     single = named.filter(f"NOT copy AND n >= {length}").select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"))
@@ -209,22 +212,39 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
                 data = text.encode()
                 for item in items:
                     place, most, least = item["meta"] >> 16, item["meta"] >> 8 & 255, item["meta"] & 255
-                    for a, b in [(x, x) for x in range(least, most + 1)] if item["hot"] else [(most, least)]:
-                        piece = data[place - a : place - b + length]
-                        home = int.from_bytes(hashlib.blake2b(piece, digest_size=7).digest(), "little") if item["hot"] else item["gram"]
-                        for k, v in enumerate((home % buckets, doc, key, place, a, b, piece)):
-                            out[k].append(v)
+                    for k, v in enumerate((item["gram"] % buckets, doc, key, place, most, least, data[place - most : place - least + length])):
+                        out[k].append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:6]), pa.array(out[6], pa.binary())], ["bucket", "doc_id", "key", "place", "most", "least", "piece"])
 
+    def name(batches):
+        for batch in batches:
+            rows, names, starts = [], [], []
+            texts = batch.column("text").to_pylist()
+            for i, items in enumerate(batch.column("wanted").to_pylist()):
+                data = texts[i].encode()
+                for item in items:
+                    place = item["meta"] >> 16
+                    for lo in range(place - (item["meta"] >> 8 & 255), place - (item["meta"] & 255) + 1):
+                        rows.append(i), starts.append(lo), names.append(hashlib.blake2b(data[lo : lo + length], digest_size=16).digest())
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(starts, pa.int64()), pa.array(names, pa.binary())], ["doc_id", "key", "lo", "name"])
+
     def sort(t: pa.Table) -> pa.Table:
         doc = t.column("doc_id").fill_null(-(1 << 63)).to_numpy()
         which, lo, hi = repeated_in_bucket(doc, *(t.column(c).to_numpy() for c in ("place", "most", "least")), t.column("piece").to_pylist(), length)
         take = pa.array(which)
         return pa.table({"doc_id": t.column("doc_id").take(take), "key": t.column("key").take(take), "lo": lo, "hi": hi})
 
-    slices = asked.mapInArrow(cut, "bucket long, doc_id long, key long, place long, most long, least long, piece binary")
+    kinds = asked.select("doc_id", "key", "text", F.expr("filter(wanted, w -> NOT w.hot)").alias("wanted"))
+    slices = kinds.mapInArrow(cut, "bucket long, doc_id long, key long, place long, most long, least long, piece binary")
     differing = slices.groupBy("bucket").applyInArrow(sort, "doc_id long, key long, lo long, hi long")
     differing = stage(differing, "differing")
+    if not many.isEmpty():
+        crowds = asked.select("doc_id", "key", "text", F.expr("filter(wanted, w -> w.hot)").alias("wanted")).filter("size(wanted) > 0")
+        strings = stage(crowds.mapInArrow(name, "doc_id long, key long, lo long, name binary"), "strings")
+        leads = strings.groupBy("name").agg(F.min(F.struct(least_id.alias("d"), "lo")).alias("lead"))
+        again = strings.join(leads, "name").filter((least_id != F.col("lead.d")) | (F.col("lo") != F.col("lead.lo")))
+        differing = stage(differing.union(again.select("doc_id", "key", "lo", (F.col("lo") + length).alias("hi"))), "differing")
     discard(first)
     spans = equal.union(differing)
     parts = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))  # bounded by the text
@@ -277,17 +297,23 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """docs with what repeats taken out of text (and n_chars, if there); a character cut in the middle goes."""
-    kept, names = remove_repeats(docs, length), docs.columns
+    """docs with what repeats taken out of text (and n_chars, if there); a character cut in the middle goes.
+
+    A null text becomes an empty one. Other columns stay, whatever their names.
+    """
+    names = docs.columns
+    others = [c for c in names if c not in ("doc_id", "text", "n_chars")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row"))
+    kept = remove_repeats(packed, length).select("doc_id", "row", "kept")
 
     def decode(batches):
         for batch in batches:
             texts = [k.decode(errors="ignore") for k in batch.column("kept").to_pylist()]
-            cols = {n: None if n == "text" else batch.column(n) for n in names}
-            cols["text"] = pa.array(texts, pa.string())
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(t) for t in texts], cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    kind = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return kept.select(*(c for c in names if c != "text"), "kept").mapInArrow(decode, kind)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "row", "text", "n_chars"])
+
+    kinds = dict(kept.dtypes)
+    out = kept.mapInArrow(decode, f"doc_id {kinds['doc_id']}, row {kinds['row']}, text string, n_chars long")
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in names:
+        made["n_chars"] = F.col("n_chars").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(made.get(c, F.col("row")[c].alias(c)) for c in names))

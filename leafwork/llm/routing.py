@@ -1,26 +1,30 @@
 """Nearest neighbours by learned partitions.
 
 The nearest-neighbour graph of a bounded sample is cut into balanced parts; a small network learns to name a vector's
-part. Every row is indexed under its likeliest part; a query goes to its several most probable parts, and the rows
-there are ranked exactly. Large parts are split into blocks by a hash, so none is capped.
+part. Every row is indexed under its likeliest part; a query goes to its several most probable parts, as many as hold
+COVER of the neighbours of sampled rows left out of training. A part with far more than PART rows is cut again in the
+same way by a network of its own, learnt from a sample of its rows, so parts stay small at any number of rows. The rows
+of a query's parts are ranked exactly. Parts are split into blocks by a hash, so none is capped.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafwork.llm.common import small_batches, stage
+from leafwork.llm.common import discard, small_batches, stage
+from leafwork.llm.textbytes import buffers
 from leafwork.llm.vectors import dots, main_dimension, matrix, usable
 
 SAMPLE = 8192
-PART = 2048  # rows a part is meant to hold
-MOST_PARTS = 128
+PART = 1024  # rows a part is meant to hold
+FEWEST, FAN = 8, 64  # parts that one network tells apart
 BLOCK = 4096
-COVER = 0.97  # share of the sample's neighbours that the routed parts must hold
+COVER = 0.95  # share of the sample's neighbours that the routed parts must hold
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -113,21 +117,23 @@ def train(x: np.ndarray, goal: np.ndarray, rng: np.random.Generator, hidden: int
 
 @dataclass
 class Index:
-    router: Router | None
-    parts: int
+    router: Router | None  # None: too few rows to learn from, one part
     routes: int
-    dimension: int
     cover: float
 
+    def parts(self, x: np.ndarray, routes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part from 0) of the likeliest parts of each row."""
+        if self.router is None:
+            return np.arange(len(x)), np.zeros(len(x), np.int64)
+        order = np.argsort(-self.router.logits(x), axis=1, kind="stable")[:, :routes]
+        return np.repeat(np.arange(len(x)), order.shape[1]), order.ravel()
 
-def fit(vectors: DataFrame, total: int, sample: int = SAMPLE, k: int = 20, seed: int = 8) -> Index:
-    """Learns the parts from at most `sample` different vectors; routes: the fewest parts that hold COVER of the neighbours of sampled rows left out of training."""
-    rng, d = np.random.default_rng(seed), main_dimension(vectors)
-    picked = vectors.filter(F.size("embedding") == d).select("embedding").distinct().orderBy(F.xxhash64(F.lit(seed), "embedding"), "embedding").limit(sample).toArrow()
-    x = matrix(picked.column("embedding"))
-    parts = int(min(MOST_PARTS, max(1, total // PART), max(1, len(x) // 32)))
-    if parts == 1:
-        return Index(None, 1, 1, d, 1.0)
+
+def learn(x: np.ndarray, total: int, cover: float, rng: np.random.Generator, part: int = PART, k: int = 20) -> Index:
+    """Parts and routes from sampled rows x of `total`; routes: the fewest parts that hold `cover` of the neighbours of rows left out of training."""
+    parts = int(min(FAN, max(FEWEST, -(-total // part)), len(x) // 16))
+    if parts < 2:
+        return Index(None, 1, 1.0)
     graph = neighbours(x, k)
     label = balanced_parts(graph[:, :10], parts, rng)
     goal = np.zeros((len(x), parts))
@@ -135,57 +141,117 @@ def fit(vectors: DataFrame, total: int, sample: int = SAMPLE, k: int = 20, seed:
     goal[np.arange(len(x)), label] += k / 2
     goal /= goal.sum(1, keepdims=True)
     held = rng.permutation(len(x))[: max(1, len(x) // 8)]
-    learn = np.setdiff1d(np.arange(len(x)), held)
-    router = train(x[learn], goal[learn], rng)
+    taught = np.setdiff1d(np.arange(len(x)), held)
+    router = train(x[taught], goal[taught], rng)
     own = router.logits(x).argmax(1)
-    order = np.argsort(-router.logits(x[held]), axis=1)
-    place = np.argsort(order, axis=1)
+    place = np.argsort(np.argsort(-router.logits(x[held]), axis=1), axis=1)
     rank = place[np.arange(len(held))[:, None], own[graph[held]]]
-    cover = np.array([(rank < m).mean() for m in range(1, parts + 1)])
-    routes = int(np.argmax(cover >= COVER)) + 1
-    return Index(router, parts, routes, d, float(cover[routes - 1]))
+    share = np.array([(rank < m).mean() for m in range(1, parts + 1)])
+    routes = int(np.argmax(share >= cover)) + 1
+    return Index(router, routes, float(share[routes - 1]))
+
+
+def _rounds(total: int, part: int) -> int:
+    n = 1
+    while part * FAN**n < total:
+        n += 1
+    return n
+
+
+def fit(vectors: DataFrame, total: int, dimension: int, cover: float, sample: int = SAMPLE, part: int = PART, seed: int = 8) -> Index:
+    """The first cut, learnt from at most `sample` different vectors."""
+    picked = vectors.filter(F.size("embedding") == dimension).select("embedding").distinct().orderBy(F.xxhash64(F.lit(seed), "embedding"), "embedding").limit(sample).toArrow()
+    return learn(matrix(picked.column("embedding")), total, cover, np.random.default_rng(seed), part)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values."""
+    ends = pa.py_buffer((np.arange(len(rows) + 1) * 8 * rows.shape[1]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(np.ascontiguousarray(rows, "<f8"))])
+
+
+def _doubles(column) -> np.ndarray:
+    """Binary values of one length as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    raw, offsets = buffers(column)
+    return np.frombuffer(raw, "<f8").reshape(len(offsets) - 1, -1)
+
+
+def placed(rows: DataFrame, queries: DataFrame, sample: int = SAMPLE, part: int = PART, cover: float = COVER, seed: int = 8) -> DataFrame:
+    """vec_id, asks, part, vector, staged: each row under its likeliest part, each query under its most probable ones."""
+    spark, total, dimension = rows.sparkSession, rows.count(), main_dimension(rows)
+    rounds = _rounds(total, part)
+    each = cover ** (1 / rounds)
+    held = spark.sparkContext.broadcast(fit(rows, total, dimension, each, sample, part, seed))
+
+    def first(batches):
+        for batch in batches:
+            size = np.array([len(e) for e in batch.column("embedding").to_pylist()])
+            for d in np.unique(size):
+                for asks in (False, True):
+                    own = batch.filter(pa.array((size == d) & (batch.column("asks").to_numpy(zero_copy_only=False) == asks)))
+                    if not own.num_rows:
+                        continue
+                    x = matrix(own.column("embedding"))
+                    at, to = held.value.parts(x, held.value.routes if asks else 1) if d == dimension else (np.arange(len(x)), np.full(len(x), -1 - int(d)))
+                    yield pa.RecordBatch.from_arrays([own.column("vec_id").take(pa.array(at)), pa.array(np.full(len(at), asks)), pa.array(to.astype(np.int64) + 1), _binary(x[at])], ["vec_id", "asks", "part", "vector"])
+
+    kind = "vec_id long, asks boolean, part long, vector binary"
+    both = rows.withColumn("asks", F.lit(False)).union(queries.withColumn("asks", F.lit(True)))
+    out = stage(both.mapInArrow(first, kind), "placed")
+    for _ in range(1, rounds):
+        sizes = stage(out.filter("NOT asks AND part > 0").groupBy("part").agg(F.count("*").alias("members")).filter(F.col("members") > 4 * part), "large")
+        if sizes.isEmpty():
+            break
+
+        def cut(t: pa.Table) -> pa.Table:
+            name = t.column("part")[0].as_py()
+            x = np.unique(_doubles(t.column("vector")), axis=0)
+            index = learn(x, t.column("members")[0].as_py(), each, np.random.default_rng([seed, name]), part)
+            return pa.table({"part": pa.array([name]), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+        def finer(t: pa.Table, index: pa.Table) -> pa.Table:
+            found = []
+            if t.num_rows and index.num_rows:
+                own, name = pickle.loads(index.column("index")[0].as_py()), t.column("part")[0].as_py()
+                x, asks = _doubles(t.column("vector")), t.column("asks").to_numpy()
+                for a in (False, True):
+                    rows_ = np.flatnonzero(asks == a)
+                    at, to = own.parts(x[rows_], own.routes if a else 1)
+                    take = pa.array(rows_[at])
+                    found.append(pa.table({"vec_id": t.column("vec_id").take(take), "asks": t.column("asks").take(take), "part": pa.array(name * 256 + 1 + to), "vector": t.column("vector").take(take)}))
+            return pa.concat_tables(found) if found else pa.schema([("vec_id", pa.int64()), ("asks", pa.bool_()), ("part", pa.int64()), ("vector", pa.binary())]).empty_table()
+
+        large = out.join(sizes, "part")
+        chosen = large.filter(F.expr(f"NOT asks AND pmod(xxhash64({seed}, vec_id), ceil(members / {sample})) = 0"))
+        indexes = chosen.groupBy("part").applyInArrow(cut, "part long, index binary").join(sizes, "part")
+        chunk = F.expr("int(ceil(members / 65536))")
+        indexes = indexes.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk - 1)))
+        dealt = large.withColumn("chunk", F.expr("int(pmod(xxhash64(1, vec_id), ceil(members / 65536)))"))
+        moved = dealt.select("part", "chunk", "vec_id", "asks", "vector").groupBy("part", "chunk").cogroup(indexes.select("part", "chunk", "index").groupBy("part", "chunk")).applyInArrow(finer, kind)
+        after = stage(out.join(sizes.select("part"), "part", "left_anti").select("vec_id", "asks", "part", "vector").union(moved), "placed")
+        discard(out, sizes)
+        out = after
+    return out
 
 
-def search(rows: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAMPLE, seed: int = 8) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAMPLE, part: int = PART, cover: float = COVER, seed: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score: each query's `top` rows of largest inner product, ties to the smaller vec_id.
 
     rows and queries are (vec_id, embedding); a query's own vec_id is no candidate. Vectors null, empty, zero or with
     null or non-finite components, and null ids, take no part. Vectors of another length than most meet exhaustively;
-    those of different lengths never meet. Fewer candidates than `top`: all that the routed parts hold.
+    those of different lengths never meet. Fewer candidates than `top`: all that the routed parts hold. Repeated rows
+    are one candidate. Other columns are left aside; an empty table has no rows.
     """
     spark = rows.sparkSession
     small_batches(spark, 2000)
     clean = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(usable() & F.col("vec_id").isNotNull())
-    rows, queries = clean(rows), clean(queries)
-    index = fit(rows, rows.count(), sample, seed=seed)
-    held = spark.sparkContext.broadcast(index)
-
-    def parts_of(routes: int):
-        def run(batches):
-            own = held.value
-            for batch in batches:
-                size = np.array([len(e) for e in batch.column("embedding").to_pylist()])
-                for d in np.unique(size):
-                    part = batch.filter(pa.array(size == d))
-                    x = matrix(part.column("embedding"))
-                    if d != own.dimension:
-                        at, to = np.arange(len(x)), np.full(len(x), own.parts + d)
-                    elif own.router is None:
-                        at, to = np.arange(len(x)), np.zeros(len(x), np.int64)
-                    else:
-                        order = np.argsort(-own.router.logits(x), axis=1, kind="stable")[:, :routes]
-                        at, to = np.repeat(np.arange(len(x)), order.shape[1]), order.ravel()
-                    packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * 8 * d).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x[at]))])
-                    yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(at)), pa.array(to.astype(np.int64)), packed], ["vec_id", "part", "vector"])
-
-        return run
-
-    kind = "vec_id long, part long, vector binary"
-    indexed = stage(rows.mapInArrow(parts_of(1), kind), "index")
-    asked = stage(queries.mapInArrow(parts_of(index.routes), kind), "asked")
+    both = placed(clean(rows), clean(queries), sample, part, cover, seed)
+    indexed, asked = both.filter("NOT asks").drop("asks"), both.filter("asks").drop("asks").toDF("vec_id", "part", "vector")
     blocks = indexed.groupBy("part").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"))
     turns = asked.groupBy("part").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("turns"))
-    size = F.broadcast(blocks.join(turns, "part"))  # one row per part
+    size = blocks.join(turns, "part")  # a row per part; as many as the rows ask for, so never broadcast by force
     left = indexed.join(size, "part").selectExpr("part", "int(pmod(xxhash64(1, vec_id), blocks)) AS block", "explode(sequence(0, turns - 1)) AS turn", "vec_id", "vector")
     right = asked.join(size, "part").selectExpr("part", "explode(sequence(0, blocks - 1)) AS block", "int(pmod(xxhash64(2, vec_id), turns)) AS turn", "vec_id", "vector")
 
@@ -193,20 +259,14 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAM
         if not near.num_rows or not query.num_rows:
             kind = pa.list_(pa.struct([("worse", pa.float64()), ("vec_id", pa.int64())]))
             return pa.table({"query_id": pa.array([], pa.int64()), "best": pa.array([], kind)})
-        ids = near.column("vec_id").to_numpy()
-        data = near.column("vector").to_pylist()
-        order = np.argsort(ids, kind="stable")
-        seen: dict[bytes, int] = {}
-        keep = []
-        for i in order.tolist():  # of equal vectors only the smallest ids can be among the nearest, and the query's own is none
-            n = seen.get(data[i], 0)
-            if n <= top:
-                seen[data[i]] = n + 1
-                keep.append(i)
-        ids = ids[keep]
-        x = np.frombuffer(b"".join(data[i] for i in keep), "<f8").reshape(len(keep), -1)
-        q = np.frombuffer(b"".join(query.column("vector").to_pylist()), "<f8").reshape(query.num_rows, -1)
-        qid = query.column("vec_id").to_numpy()
+        ids, x = near.column("vec_id").to_numpy(), _doubles(near.column("vector"))
+        # of equal vectors only the smallest ids can be among the nearest, and the query's own is none
+        same = np.unique(x.view(f"V{8 * x.shape[1]}").ravel(), return_inverse=True)[1] if len(x) else np.zeros(0, int)
+        order = np.lexsort((ids, same))
+        place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+        keep = order[place <= top]
+        ids, x = ids[keep], x[keep]
+        q, qid = _doubles(query.column("vector")), query.column("vec_id").to_numpy()
         out = [[], [], []]
         for s in range(0, len(q), 256):
             near_ = q[s : s + 256] @ x.T
@@ -230,7 +290,9 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAM
     keys = ["part", "block", "turn"]
     kind = "query_id long, best array<struct<worse: double, vec_id: bigint>>"
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, kind)
-    # a row for each query and block; a query's lists, `top` long each, are merged in one
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, top).alias("best"))
+    # a row for each query and block; a query's lists, `top` long each, are merged by groups of blocks and then in one
+    least = lambda column: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))), 1, top).alias("best")
+    some = found.groupBy("query_id", F.expr("int(pmod(xxhash64(best), 16))").alias("some")).agg(least("best"))
+    merged = some.groupBy("query_id").agg(least("best"))
     each = merged.select("query_id", F.posexplode("best").alias("rank", "b"))
     return each.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.worse")).alias("score"))

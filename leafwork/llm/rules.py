@@ -20,18 +20,21 @@ STATISTICS = {
     "distinct": "size(array_distinct(w)) / nw",
     "symbols": "regexp_count(t, '[^\\\\p{L}\\\\p{N}\\\\s.,]+') / nw",
     "long_symbols": "regexp_count(t, '[^\\\\p{L}\\\\p{N}\\\\s]{2,}') / nw",
-    "pipes": "(n - length(replace(t, '|', ''))) / nw",
+    "pipes": "(length(t) - length(replace(t, '|', ''))) / nw",
     "capitals": "regexp_count(t, '\\\\p{Lu}{2,}') / nw",
     "digits": "regexp_count(t, '\\\\p{N}+') / nw",
-    "lines": "(n - length(replace(t, '\\n', ''))) / nw",
-    "stops": "(n - length(replace(t, '.', ''))) / nw",
-    "commas": "(n - length(replace(t, ',', ''))) / nw",
+    "lines": "(length(t) - length(replace(t, '\\n', ''))) / nw",
+    "stops": "(length(t) - length(replace(t, '.', ''))) / nw",
+    "commas": "(length(t) - length(replace(t, ',', ''))) / nw",
 }
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Adds the statistics to docs (text); a null text counts as empty."""
-    base = docs.withColumn("_t", F.coalesce("text", F.lit("")))
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the statistics of a column to docs, as _s_ and their name; a null text counts as empty.
+
+    Columns _t, _w, _n and _nw are used on the way and must not be there.
+    """
+    base = docs.withColumn("_t", F.coalesce(text, F.lit("")))
     base = base.withColumn("_w", F.expr("filter(split(_t, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')"))
     base = base.withColumn("_n", F.expr("greatest(1, length(_t))")).withColumn("_nw", F.expr("greatest(1, size(_w))"))
     import re
@@ -141,6 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """Adds held_out and score to docs (doc_id, text); empty and null texts get the score of their statistics."""
-    out = statistics(docs).withColumn("score", F.expr(model.sql())).withColumn("held_out", F.expr(HELD_OUT))
-    return out.drop(*(f"_s_{s}" for s in STATISTICS))
+    """Adds held_out and score to docs (doc_id, text); empty and null texts get the score of their statistics.
+
+    Rows that repeat are scored alike, a null doc_id counts as an empty one in held_out, an empty table stays empty.
+    Columns held_out and score in docs are replaced, all others stay, whatever their names.
+    """
+    own = docs.drop("score", "held_out")
+    packed = own.select(F.struct("*").alias("row"), F.col("text"), F.expr(HELD_OUT).alias("held_out"))
+    return statistics(packed).withColumn("score", F.expr(model.sql())).select("row.*", "score", "held_out")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafwork.llm.common import small_batches
+from leafwork.llm.textbytes import BASE, BYTE, U, buffers, mix
 
 #: A small labelled table: URLs to block and to allow.
 BLOCK = """
@@ -125,14 +126,22 @@ def rule(text: str, verdict: str) -> UrlRule:
     return UrlRule(host, "/" + path, verdict)
 
 
-def grams(host: str, path: str, bits: int, low: int = 3, high: int = 5) -> list[int]:
-    """Hashed n-grams of the host and of the path, each between marks; host and path have their own grams."""
-    out = []
-    for mark, text in (("h", host), ("p", path.lower())):
-        text = f"^{text}$"
-        for n in range(low, high + 1):
-            out += [zlib.crc32(f"{mark}{text[i : i + n]}".encode()) >> (32 - bits) for i in range(len(text) - n + 1)]
-    return out
+def grams(hosts: pa.Array, paths: pa.Array, bits: int, low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of each row's different n-grams of bytes, of the host and of the lower-cased path between marks; the two have grams of their own."""
+    rows, buckets = [], []
+    for salt, column in ((U(0x68), hosts), (U(0x70), pc.utf8_lower(paths))):
+        raw, offsets = buffers(pc.binary_join_element_wise("^", column, "$", ""))
+        code, row = BYTE[raw], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        with np.errstate(over="ignore"):
+            run = np.zeros(len(raw), U)
+            for n in range(1, high + 1):
+                run = run[: len(raw) - n + 1] * BASE + code[n - 1 :]
+                if n >= low:
+                    start = np.flatnonzero(row[: len(run)] == row[n - 1 :])  # all its bytes are of one row
+                    rows.append(row[start])
+                    buckets.append((mix(run[start] ^ (salt + U(256 * n))) >> U(64 - bits)).astype(np.int64))
+    both = np.unique(np.concatenate(rows) << bits | np.concatenate(buckets)) if rows else np.zeros(0, np.int64)
+    return both >> bits, both & ((1 << bits) - 1)
 
 
 @dataclass
@@ -141,10 +150,12 @@ class UrlModel:
     bias: float
     weights: np.ndarray
 
-    def score(self, host: str, path: str) -> float:
-        own = np.unique(grams(host, path, self.bits))
-        z = self.bias + (self.weights[own].sum() / np.sqrt(len(own)) if len(own) else 0.0)
-        return float(1 / (1 + np.exp(-z)))
+    def scores(self, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
+        """The probability of block for each url: the mean weight of its grams, scaled by the root of their number."""
+        row, bucket = grams(hosts, paths, self.bits)
+        n = np.bincount(row, minlength=len(hosts))
+        z = self.bias + np.bincount(row, self.weights[bucket], len(hosts)) / np.sqrt(np.maximum(1, n))
+        return 1 / (1 + np.exp(-z))
 
 
 def _parts(url: str) -> tuple[str, str]:
@@ -155,11 +166,11 @@ def _parts(url: str) -> tuple[str, str]:
 
 def fit(block: list[str] = BLOCK, allow: list[str] = ALLOW, bits: int = 15, steps: int = 400, decay: float = 1e-2) -> UrlModel:
     """Logistic regression by gradient descent on the labelled table; 1 is block."""
-    rows = [np.unique(grams(*_parts(u), bits)) for u in (*block, *allow)]
+    hosts, paths = zip(*(_parts(u) for u in (*block, *allow)))
+    row, bucket = grams(pa.array(hosts), pa.array(paths), bits)
     y = np.array([1.0] * len(block) + [0.0] * len(allow))
-    x = np.zeros((len(rows), 1 << bits), np.float64)
-    for i, own in enumerate(rows):
-        x[i, own] = 1 / np.sqrt(len(own))
+    x = np.zeros((len(y), 1 << bits), np.float64)
+    x[row, bucket] = 1 / np.sqrt(np.bincount(row, minlength=len(y)))[row]
     used = np.flatnonzero(x.any(0))
     x = x[:, used]
     w, b = np.zeros(len(used)), 0.0
@@ -186,17 +197,18 @@ def judge(pages: DataFrame, rules: list[UrlRule], model: UrlModel, cut: float =
     found = F.coalesce(*(F.when(r.fits(F.col("host"), F.col("path")), F.lit(k)) for k, r in enumerate(longest)), F.lit(-1)) if longest else F.lit(-1)
     df = df.withColumn("_k", found)
     held = pages.sparkSession.sparkContext.broadcast(model)  # 2**bits weights
+    texts, verdicts = (np.array([*x, ""], object) for x in ([r.host + r.path for r in longest], [r.verdict for r in longest]))
 
     def scored(batches):
         for batch in batches:
-            k = batch.column("_k").to_pylist()
-            host, path = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            score = [held.value.score(h, p) if i < 0 else None for i, h, p in zip(k, host, path)]
-            own = [longest[i] if i >= 0 else None for i in k]
-            verdict = [r.verdict if r else ("block" if s >= cut else "allow") for r, s in zip(own, score)]
+            k = batch.column("_k").to_numpy()
+            open_ = k < 0
+            score = np.zeros(len(k))
+            score[open_] = held.value.scores(*(batch.column(c).filter(pa.array(open_)) for c in ("host", "path")))
+            verdict = np.where(open_, np.where(score >= cut, "block", "allow"), verdicts[k])
             keep = [n for n in batch.schema.names if n != "_k"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in keep), pa.array([r.host + r.path if r else None for r in own], pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())],
+                [*(batch.column(n) for n in keep), pa.array(texts[k], pa.string(), mask=open_), pa.array(verdict, pa.string()), pa.array(score, pa.float64(), mask=~open_)],
                 [*keep, "rule", "verdict", "score"],
             )
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, queries, repeats, routing, rules, urls
-from leafwork.llm.common import components, prefix
+from leafwork.llm.common import components, prefix, stage
 from leafwork.llm.encoder import Encoder, _classes, encoder
 from leafwork.llm.queries import TOKENIZER, URL_RULES
 from leafwork.llm.suffixes import suffix_array
@@ -291,6 +291,61 @@ def test_vectors(spark):
     assert forest.near_vectors(df.limit(0)).collect() == [] and routing.search(df.limit(0), asked.limit(0)).collect() == []
 
 
+def _clusters(n, dimension, clusters, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dimension)) * 0.5 + 3 * rng.normal(size=(clusters, dimension))[rng.integers(0, clusters, n)]
+    return x, rng
+
+
+@pytest.mark.parametrize("options", [{"leaf": 64, "sample": 1500}, {"leaf": 16, "sample": 200, "tile": 40}])
+def test_forest_of_many_leaves(spark, options):
+    """Planted pairs just above 0.98 and a crowd of near copies, over many leaves and, with few sampled, over rounds: equal to brute force."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 24))
+    x[700:1000] = x[:300] + 0.19 / np.sqrt(24) * np.linalg.norm(x[:300], axis=1, keepdims=True) * rng.normal(size=(300, 24)) * 0.95
+    x[1200:1400] = x[5] + 0.1 * rng.normal(size=(200, 24))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3 == 0 and 1 or 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([i % 3 == 0 for i in range(1500)])
+    near = (unit @ unit.T >= 0.98) & ~np.eye(1500, dtype=bool) & (label[:, None] == label[None])
+    got = {r.vec_id: r.n_links for r in forest.near_vectors(df, **options).collect()}
+    found = np.array([got[i] for i in range(1500)])
+    assert (found <= near.sum(1)).all() and near.sum() > 1000  # no link that isn't there, none counted twice
+    assert found.sum() >= 0.97 * near.sum()
+
+
+def test_tree_splits():
+    rng = np.random.default_rng(1)
+    x = forest.unit(rng.normal(size=(4000, 32)))
+    tree = forest.grow(x, 4000, rng, gap=0.2 / np.sqrt(32))
+    rows, leaf = tree.leaves(x)
+    assert len(set(leaf.tolist())) >= 12 and len(rows) < 1.6 * 4000 and set(rows.tolist()) == set(range(4000))
+    big = np.full((2, 3), 1e200)
+    assert np.allclose(forest.unit(big), 1 / np.sqrt(3))
+
+
+@pytest.mark.parametrize("options, rows", [({"sample": 2000}, 3000), ({"sample": 400, "part": 4}, 2000)])
+def test_search_through_parts(spark, options, rows):
+    """With several parts, and with parts cut again, a query visits few of them and finds at least 0.9 of its neighbours."""
+    x, _ = _clusters(rows, 12, 24, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 20 = 0")
+    both = routing.placed(df, asked, **options)
+    parts = both.filter("NOT asks").select("part").distinct().count()
+    routes = both.filter("asks").count() / asked.count()
+    assert parts >= 8 and routes < 0.7 * parts
+    assert both.filter("NOT asks").count() == rows  # every row is indexed once
+    found = {}
+    for r in routing.search(df, asked, top=20, **options).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x @ x.T
+    hits = 0
+    for q in range(0, rows, 20):
+        best = sorted((-score[q, i], i) for i in range(rows) if i != q)[:20]
+        hits += len(found[q] & {i for _, i in best})
+    assert hits >= 0.9 * 20 * len(range(0, rows, 20))
+
+
 def test_routing_parts():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)) + 6 * np.eye(8)[rng.integers(0, 8, 600)]
@@ -360,6 +415,70 @@ def test_classifiers(spark, odd, module):
     assert module.score(docs.limit(0), model).collect() == []
 
 
+def test_rules_by_hand(spark, odd):
+    """A rule as numpy reads it, as SQL, and worked out from the text: one score."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["ab", "Cde,", "x|y", "12", "fim."]) for _ in range(rng.randint(1, 30)))) for i in range(100, 140)]
+    model = rules.RuleModel(-0.25, ((rules.Rule((("log_words", True, 2.0), ("commas", False, 0.1))), 1.5), (rules.Rule((("pipes", False, 0.15),)), -2.0)))
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    for r in rules.score(docs.withColumn("row", F.lit(1)).withColumn("_t", F.lit(2)), model).collect():
+        t = r.text or ""
+        n = max(1, len(WORD.findall(t)))
+        x = {"log_words": np.array([np.log(n)]), "commas": np.array([t.count(",") / n]), "pipes": np.array([t.count("|") / n])}
+        z = -0.25 + sum(w * rule.holds(x)[0] for rule, w in model.rules)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z))) and (r.row, r._t) == (1, 2)
+        assert r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 4 == 2)
+
+
+def test_machine_by_pairs(spark, odd):
+    """The machine's score is the sum over all pairs of a text's terms, written out."""
+    docs = odd.select("doc_id", "text").filter("doc_id <> 4").union(spark.createDataFrame([(50, "idiot, you loser; idiot group"), (51, "a b c d e")], "doc_id long, text string"))
+    rng, terms = np.random.default_rng(2), {}
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        terms[r.doc_id, r.text] = factorization.terms(raw, np.array([0, len(raw)]))[1].tolist() if len(raw) else []
+    buckets = np.unique(np.concatenate([np.array(t, np.int64) for t in terms.values()]))
+    m = factorization.Machine(factorization.BITS, -0.3, buckets, rng.normal(size=len(buckets)), rng.normal(size=(len(buckets), 3)))
+    at = {b: i for i, b in enumerate(buckets.tolist())}
+    for r in factorization.score(docs, m).collect():
+        own = [at[b] for b in terms[r.doc_id, r.text]]
+        z = m.b + sum(m.w[i] for i in own) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(own, 2))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_url_scores_by_hand():
+    """Distinct n-grams of bytes, their mean weight by the root of their number: one url at a time, in plain Python."""
+    import pyarrow as pa
+
+    model = urls.fit()
+    cases = [("example.org", "/en/1"), ("", ""), ("ÀÉ.org", "/Ação/日本"), ("a", "/"), ("example.org", "/EN/1")]
+    got = model.scores(pa.array([h for h, _ in cases]), pa.array([p for _, p in cases]))
+    mask = (1 << 64) - 1
+
+    def bucket(salt, n, gram):
+        h = 0
+        for b in gram:
+            h = (h * int(urls.BASE) + int(urls.BYTE[b])) & mask
+        return int(urls.mix(np.array([h ^ (salt + 256 * n)], np.uint64))[0]) >> (64 - model.bits)
+
+    for (host, path), score in zip(cases, got):
+        own = set()
+        for salt, text in ((0x68, host), (0x70, path.lower())):
+            data = f"^{text}$".encode()
+            own |= {bucket(salt, n, data[i : i + n]) for n in (3, 4, 5) for i in range(len(data) - n + 1)}
+        z = model.bias + sum(model.weights[b] for b in own) / np.sqrt(max(1, len(own)))
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_set_names_that_clash(spark, monkeypatch):
+    """Different sets with one 64-bit name are told apart by the other."""
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(12))) for i in range(6)] + [(9, " ".join(f"w0_{k}" for k in range(12)))]
+    signed = stage(chosenpath.signatures(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("set_id", F.lit(7).cast("long")), "signed")
+    monkeypatch.setattr(chosenpath, "signatures", lambda docs, k=5: signed)
+    got = chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (9, 0)]
+
+
 def test_interaction_terms():
     """An insult alone or a group alone is harmless, both together are not: no additive weights can say so."""
     rng = np.random.default_rng(0)
@@ -380,3 +499,55 @@ def test_pipeline_stages(spark, sf):
     assert names == ["toxicity", "near-dedup", "repeated passages", "mixing", "packing"]
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_pipeline_on_odd_rows(spark, odd, sf, tmp_path):
+    """Each stage takes null, empty, blank and very long texts, null and repeated ids, clashing names and an empty table."""
+    docs = odd.withColumn("lang", F.lit("pt")).withColumn("n_chars", F.length("text"))
+    labels = spark.createDataFrame([(i, 0, int(i % 9 == 0)) for i in range(100, 200)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, step in corpus_pipeline.STAGES:
+        got = step(spark, docs, f"file://{tmp_path}")
+        n = got.count()
+        assert n > 0, name
+        if name != "packing":
+            assert got.columns == docs.columns, name
+            assert {(r.kept, r.length) for r in got.collect()} == {(True, "x")}, name
+        if name in ("toxicity", "repeated passages"):
+            assert n == docs.count(), name
+        if name == "near-dedup":  # 5 twice and "um  dois", "Um Dois" are one text of words
+            assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
+        assert step(spark, docs.limit(0), f"file://{tmp_path}").collect() == [], name
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """Ten documents whose way through every stage is plain to see: what stays, what goes, what is taken twice."""
+    word = lambda a, b: " ".join(f"palavra{i}" for i in range(a, b))
+    passage = word(1000, 1060)
+    texts = {
+        1: word(0, 60), 2: word(0, 60), 3: word(1, 61), 4: word(100, 160) + " " + passage, 5: word(200, 260) + " " + passage, 6: word(300, 400), 7: "", 8: None, 9: word(400, 440), 10: "insulto idiota imbecil " + word(500, 540),
+    }
+    train = [(i, "insulto idiota imbecil " * 3 + word(i, i + 20), 1) if i % 3 == 0 else (i, word(2 * i, 2 * i + 30), 0) for i in range(2000, 2600)]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in train], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    row = lambda i, t: (i, t, "pt", "s", len(t or ""))
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame([row(i, t) for i, t in texts.items()] + [row(i, t) for i, t, _ in train], kind)
+    left = stages["toxicity"](spark, docs, f"file://{tmp_path}").filter("doc_id <= 10")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
+    left = stages["near-dedup"](spark, left, "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5, 6, 7, 8, 9]  # 2 is 1, 3 shares 55 of 57 shingles with it
+    left = stage(stages["repeated passages"](spark, left, ""), "left")
+    kept = {r.doc_id: r.text for r in left.collect()}
+    # what 159 and 259 end with is repeated too
+    assert kept[4] == texts[4] and kept[5] == word(200, 260)[:-2] and kept[1] == texts[1] and kept[7] == "" and kept[8] == ""
+    mixed = stages["mixing"](spark, left, "").collect()
+    size = sum(len(WORD.findall(t)) for t in kept.values())
+    taken = sum(len(WORD.findall(r.text)) for r in mixed)
+    assert taken == int(1.5 * size) and {r.doc_id for r in mixed} == {1, 4, 5, 6, 9}  # one source: 1.5 times all its words
+    assert all((kept[r.doc_id] + " ").startswith(r.text + " ") for r in mixed)
+    packed = stages["packing"](spark, spark.createDataFrame(mixed, kind), "").collect()
+    tok = Tokenizer.from_file(TOKENIZER)
+    want = sorted((r.doc_id, zlib.crc32(np.array([*tok.encode(r.text, add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in mixed)
+    assert sorted((r.doc_id, r.ids_crc32) for r in packed) == want
