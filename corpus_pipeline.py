@@ -17,15 +17,18 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine doesn't call toxic (score below 0.3); it learns from labels, without the held-out rows."""
+    """Documents that the factorization machine doesn't call toxic (score below 0.3); it learns from labels, without the held-out rows.
+
+    Null and empty texts stay, repeated rows go or stay together; without any label nothing goes.
+    """
     model = factorization.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
-    return factorization.score(docs, model).filter("score < 0.3").select(*docs.columns)
+    scored = factorization.score(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), model)
+    return scored.filter("score < 0.3").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates; documents without words stay."""
-    kept = chosenpath.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    """One document of each group of near-duplicates, that of the smallest doc_id; documents without words stay."""
+    return chosenpath.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +37,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as the schedule takes them, the last of a source cut where it ends."""
+    """The mix: documents as often as the schedule takes them, the last of a source cut where it ends.
+
+    Null, empty and blank texts have no words and are not taken; a null source is a source of its own.
+    """
     return mixing.mixed_texts(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their ids and places in sequences of 1024 tokens."""
+    """Every document's pieces with their ids and places in sequences of 1024 tokens; a null or empty text is its end id alone."""
     return packing.pack(docs, TOKENIZER, full=1024, end_id=2, added=True)
 
 
