@@ -15,10 +15,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="leafwork-")
     return _OWN["dir"]

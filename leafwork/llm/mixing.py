@@ -56,8 +56,9 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 def schedule(goals: DataFrame, block: int = 1024) -> DataFrame:
     """slot, source, rank, start, words: the mix, slot by slot; start is the block's place in its source's stream.
 
-    Slots come from a range, so any number of executors makes them; ranks are counts before a slot in its chunk of
-    2**16 slots plus the chunks before it. A source's last block ends at its target.
+    Slots come from a range, so any number of executors makes them; there are as many as every source needs to reach
+    its target, which is counted. Ranks are counts before a slot in its chunk of 2**16 slots plus the chunks before it.
+    A source's last block ends at its target.
     """
     rows = [(r["source"], int(r["target"])) for r in goals.orderBy("source").collect()]  # one per source
     rows = [r for r in rows if r[1] > 0]
@@ -67,12 +68,15 @@ def schedule(goals: DataFrame, block: int = 1024) -> DataFrame:
     t = np.array([r[1] for r in rows], float)
     need = np.ceil(t / block)
     edges = np.cumsum(need) / need.sum()
-    # a source of share p has its m-th slot within a bounded number of points after m / p
-    points = int(need.sum() + 8 * np.log2(need.sum() + 2) * need.sum() / need.min()) if len(rows) > 1 else int(need.sum())
-    points = min(points, int(need.sum() * 4 + 1_000_000))
     upper = F.array(*(F.lit(float(e)) for e in edges))
     pick = F.least(F.size(F.filter(upper, lambda e: e <= F.col("u"))), F.lit(len(rows) - 1))
-    slots = spark.range(points).select(F.col("id").alias("slot"), F.expr(f"(id * {GOLDEN}D) - floor(id * {GOLDEN}D)").alias("u")).select("slot", pick.alias("s"))
+    points = int(need.sum()) + (64 if len(rows) > 1 else 0)
+    while True:  # the points of an interval stray from its share by a logarithm only, so this ends soon
+        slots = spark.range(points).select(F.col("id").alias("slot"), F.expr(f"(id * {GOLDEN}D) - floor(id * {GOLDEN}D)").alias("u")).select("slot", pick.alias("s"))
+        got = {r["s"]: r["count"] for r in slots.groupBy("s").count().collect()}  # one per source
+        if all(got.get(k, 0) >= n for k, n in enumerate(need)):
+            break
+        points += points // 2 + 64
     slots = slots.withColumn("chunk", F.expr("slot div 65536"))
     counts = slots.groupBy("s", "chunk").count()
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -142,7 +146,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     Rows that share doc_id and text are each taken as the one of them that is taken most.
     """
     mark = F.xxhash64("text").alias("_x")
-    took, _ = mix(sizes(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", mark), **options)
+    sized = stage(sizes(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", mark), "sized")  # words are counted once
+    took, _ = mix(sized, **options)
     took = took.filter("taken > 0").groupBy("doc_id", "_x").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
     took = took.withColumnRenamed("doc_id", "_d").withColumnRenamed("_x", "_y")
     rows = docs.withColumn("_x", mark).join(took, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_y")))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, repeats, routing, rules, urls
+from leafwork.llm.common import stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,7 +63,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    sized = stage(mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), "sized")  # words are counted once
     took, _ = mixing.mix(sized)
     return took.select("doc_id", "size", "source_size", "target", "taken")
 
