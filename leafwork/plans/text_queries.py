@@ -143,6 +143,7 @@ def events(d: Dialect, source: str) -> str:
 
 
 SPECS = {
+    "content_hash": lambda d: "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM @documents@",
     "heading_size_groups": _size_groups,
     "heading_filter_levels": lambda d: H.filtered(d, blocks(d), _heading_filter(d)),
     "heading_filter_stats": lambda d: H.filter_statistics(d, blocks(d), _heading_filter(d)),

@@ -16,6 +16,29 @@ def write_markdown(documents: DataFrame, folder: str) -> None:
     documents.select("doc_id", "markdown").write.mode("overwrite").parquet(folder)
 
 
+def write_markdown_files(documents: DataFrame, folder: str) -> DataFrame:
+    """doc_id, path of documents (doc_id, name, markdown) written as one .md file each; folder is a path or URI that all executors reach.
+
+    Names lose what file systems do not allow; a document's id keeps equal names apart. A repeated task writes the same files again.
+    """
+    ship(documents.sparkSession)
+    safe = F.regexp_replace(F.coalesce("name", F.lit("document")), r'[<>:"/\\|?*]', "_")
+    named = documents.select("doc_id", F.concat(safe, F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.coalesce("markdown", F.lit("")).alias("markdown"))
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        for df in batches:
+            for name, text in zip(df["file"], df["markdown"]):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"doc_id": df["doc_id"], "path": f"{folder.rstrip('/')}/" + df["file"]})
+
+    return named.mapInPandas(write, "doc_id long, path string")
+
+
 def archives(documents: DataFrame, images: DataFrame) -> DataFrame:
     """doc_id, name, archive (zip) of documents (doc_id, name, markdown) and images (doc_id, path, bytes).
 
