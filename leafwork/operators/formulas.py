@@ -36,10 +36,14 @@ _ZONE_MARKS = ZONE_CHARS + "^_{}[]()/'*\\"
 _TRIG, _LOG = "sen|cos|tan|cot|sec|csc|sin|arcsen|arccos|arctan", "log|ln|lg|exp"
 
 
-def zone_marks(d: Dialect, t: str) -> dict[str, str]:
-    """Named expressions that a zone's score is made of: density, the patterns, italic, isolated; false at once for plain prose."""
+def zone_gate(d: Dialect, t: str) -> str:
+    """Whether a text has any character or word that a zone's marks need; plain prose has none."""
+    return f"({d.chars(t, _ZONE_MARKS)} > 0 OR {d.has(t, word(f'{_TRIG}|{_LOG}|lim'), fold=True)} OR {d.has(t, f'[{ITALIC}]')})"
+
+
+def zone_marks(d: Dialect, t: str, gate: str) -> dict[str, str]:
+    """Named expressions that a zone's score is made of: density, the patterns, italic, isolated; false at once where gate is."""
     g = "a-zA-Z0-9" + GREEK_LOWER
-    gate = f"({d.chars(t, _ZONE_MARKS)} > 0 OR {d.has(t, word(f'{_TRIG}|{_LOG}|lim'), fold=True)} OR {d.has(t, f'[{ITALIC}]')})"
     total = f"length(replace({t}, ' ', ''))"
     italic = d.count(t, f"[{ITALIC}]")
     ops = f"({d.chars(t, ZONE_CHARS + '*/^_()[]{}')})"
@@ -67,7 +71,7 @@ def zones(d: Dialect, source: str, width: str = "612", least: int = 0) -> str:
     zone_type: display for what stands in the middle and fills less than 60 % of the page's width, else equation, fraction
     or inline. Rows below `least` are left out.
     """
-    marked = d.once(source, **zone_marks(d, "text"))
+    marked = d.once(d.once(source, z_gate=zone_gate(d, "text")), **zone_marks(d, "text", "z_gate"))
     centred = f"(abs((x0 + x1) / 2 - {width} / 2.0) < {width} * 0.15 AND x1 - x0 < {width} * 0.6)"
     fonts = "(" + " OR ".join(f"contains(lower(font), '{f}')" for f in ZONE_FONTS) + ")"
     terms = [(f"z_{k}", str(v)) for k, v in ZONE_POINTS.items()] + [(fonts, "300"), (centred, "100"), ("z_density >= 0.15", "CAST(floor(z_density * 400) AS INT)")]

@@ -137,7 +137,7 @@ def label(d: Dialect, t: str) -> str:
 def _scored(d: Dialect, source: str) -> str:
     f = features(d, "text")
     inner = d.once(neighbours(d, source), **f)
-    return f"SELECT *, {confidence_class('points')} AS confidence FROM (SELECT *, {confidence_percent(d)} AS points FROM ({inner}) AS f) AS p"
+    return d.once(f"SELECT *, {confidence_percent(d)} AS points FROM ({inner}) AS f", confidence=confidence_class("points"))
 
 
 def rebuilt(d: Dialect, source: str) -> str:
@@ -146,7 +146,9 @@ def rebuilt(d: Dialect, source: str) -> str:
     A line that is no formula stays as it is. Else a known formula by context or by text, else its words as LaTeX.
     """
     near = f"SELECT *, {beside(d)} AS near, {d.strip(d.sub('lower(text)', f'{S}+', ' '))} AS low FROM ({_scored(d, source)}) AS s"
-    named = d.once(near, found=formula_name(d, "near"), says=formula_name(d, "near", 2), number=label(d, "text"))
+    near = f"SELECT * FROM ({d.once(near, number=label(d, 'text'))}) AS o"
+    some = lambda x: f"CASE WHEN confidence <> 'none' THEN {x} END"
+    named = d.once(near, found=some(formula_name(d, "near")), says=some(formula_name(d, "near", 2)))
     tex = f"CASE WHEN confidence = 'none' THEN text ELSE coalesce({known_by_context(d, 'lower(text)', 'found', 'says')}, {known_by_text(d, 'low')}, {words_to_latex(d, 'text')}) END"
     return f"SELECT doc_id, block_idx, text, confidence, number AS label, CASE WHEN confidence <> 'none' THEN found END AS name, CASE WHEN confidence <> 'none' THEN says END AS hint, {tex} AS latex FROM ({named}) AS n"
 
