@@ -198,12 +198,14 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     discard(met)
     # the first slices of grams that have several, cut from their texts
     some = first.filter("several").select("gram", F.col("first.d").alias("_d"), F.col("first.k").alias("_k"), F.col("first.m").alias("meta"))
-    many = some.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
-    some = some.join(many, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = some.groupBy("_d", "_k").agg(F.collect_list(F.struct("gram", "meta", "hot")).alias("wanted"))  # bounded by the text
+    many = stage(some.groupBy("gram").count().filter(F.col("count") > hot).select("gram"), "many")
     total = first.filter("several").count()
     buckets = max(1, -(-total // BUCKET))
-    asked = docs.withColumn("_o", least_id).join(wanted, (F.col("key") == F.col("_k")) & (F.col("_o") == F.col("_d"))).select("doc_id", "key", "text", "wanted")
+
+    def asked(chosen: DataFrame) -> DataFrame:
+        """The texts that hold the chosen slices, with their places; a text's list is bounded by the text."""
+        wanted = chosen.groupBy("_d", "_k").agg(F.collect_list(F.struct("gram", "meta")).alias("wanted"))
+        return docs.withColumn("_o", least_id).join(wanted, (F.col("key") == F.col("_k")) & (F.col("_o") == F.col("_d"))).select("doc_id", "key", "text", "wanted")
 
     def cut(batches):
         for batch in batches:
@@ -235,13 +237,11 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
         take = pa.array(which)
         return pa.table({"doc_id": t.column("doc_id").take(take), "key": t.column("key").take(take), "lo": lo, "hi": hi})
 
-    kinds = asked.select("doc_id", "key", "text", F.expr("filter(wanted, w -> NOT w.hot)").alias("wanted"))
-    slices = kinds.mapInArrow(cut, "bucket long, doc_id long, key long, place long, most long, least long, piece binary")
+    slices = asked(some.join(many, "gram", "left_anti")).mapInArrow(cut, "bucket long, doc_id long, key long, place long, most long, least long, piece binary")
     differing = slices.groupBy("bucket").applyInArrow(sort, "doc_id long, key long, lo long, hi long")
     differing = stage(differing, "differing")
     if not many.isEmpty():
-        crowds = asked.select("doc_id", "key", "text", F.expr("filter(wanted, w -> w.hot)").alias("wanted")).filter("size(wanted) > 0")
-        strings = stage(crowds.mapInArrow(name, "doc_id long, key long, lo long, name binary"), "strings")
+        strings = stage(asked(some.join(many, "gram", "left_semi")).mapInArrow(name, "doc_id long, key long, lo long, name binary"), "strings")
         leads = strings.groupBy("name").agg(F.min(F.struct(least_id.alias("d"), "lo")).alias("lead"))
         again = strings.join(leads, "name").filter((least_id != F.col("lead.d")) | (F.col("lo") != F.col("lead.lo")))
         differing = stage(differing.union(again.select("doc_id", "key", "lo", (F.col("lo") + length).alias("hi"))), "differing")
