@@ -27,9 +27,9 @@ def word_count(d: Dialect, t: str) -> str:
 
 
 def stopword_ratio(d: Dialect, t: str) -> str:
-    """Share of stop words; each word stands between two spaces of its own, so that matches don't overlap."""
-    spaced = f"concat('  ', {d.sub(f'lower({t})', f'{S}+', '  ')}, '  ')"
-    return f"CASE WHEN {word_count(d, t)} = 0 THEN {d.double('0')} ELSE {d.double(d.count(spaced, ' (' + '|'.join(STOPWORDS) + ') '))} / {word_count(d, t)} END"
+    """Share of stop words among the words."""
+    stops = d.size(d.keep(words(d, f"lower({t})"), "w", d.member("w", STOPWORDS)))
+    return f"CASE WHEN {word_count(d, t)} = 0 THEN {d.double('0')} ELSE {d.double(stops)} / {word_count(d, t)} END"
 
 
 def has_section(d: Dialect, t: str) -> str:
