@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leafwork.llm.common import components, discard, small_batches, stage
-from leafwork.llm.textbytes import U, buffers, chunks, mix, words
+from leafwork.llm.textbytes import U, buffers, chunks, mix, tidy, words
 
 COORDINATES = 48
 TREES = 18
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 )
 
     kind = "doc_id long, text_key long, n_shingles long, set_id long, name long, sketch array<bigint>, tokens array<int>"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, kind)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(sign), kind)
 
 
 def _alike_sql(a: str, b: str) -> str:
@@ -236,9 +236,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
                 yield own.filter(pa.array(keep))  # another text of the same doc_id is not asked for
 
     kind = "set_id long, name long, shingles array<bigint>"
-    found = docs.select("doc_id", "text").join(wanted.select("set_id", "name", "doc_id"), "doc_id").select("set_id", "name", "text").mapInArrow(sets, kind)
+    found = docs.select("doc_id", "text").join(wanted.select("set_id", "name", "doc_id"), "doc_id").select("set_id", "name", "text").mapInArrow(tidy(sets), kind)
     none = F.lit(None).cast("long")
-    nameless = docs.filter("doc_id IS NULL").select(none.alias("set_id"), none.alias("name"), "text").mapInArrow(sets, kind)
+    nameless = docs.filter("doc_id IS NULL").select(none.alias("set_id"), none.alias("name"), "text").mapInArrow(tidy(sets), kind)
     nameless = nameless.drop("set_id").join(wanted.filter("doc_id IS NULL").select("set_id", "name"), "name").select("set_id", "name", "shingles")
     return found.union(nameless).dropDuplicates(["set_id"]).drop("name")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leafwork.llm.common import small_batches
 from leafwork.llm.labelled import HELD_OUT, sample
-from leafwork.llm.textbytes import U, buffers, chunks, words
+from leafwork.llm.textbytes import U, buffers, chunks, give_back, tidy, words
 
 BITS = 18
 
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32()), pa.array(bucket, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("y").slice(a, b - a), lists], ["doc_id", "y", "terms"])
 
-    got = sample(docs, labels, label, rows).mapInArrow(hashed, "doc_id long, y double, terms array<int>").toArrow()  # at most `rows`
+    got = sample(docs, labels, label, rows).mapInArrow(tidy(hashed), "doc_id long, y double, terms array<int>").toArrow()  # at most `rows`
     got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     y = got.column("y").to_numpy()
     n = len(y)
@@ -98,6 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
     at = np.searchsorted(row, np.arange(n + 1))
     del keep, row
     b, w, v = descend(k, at, y, len(bucket), b, factors, epochs, seed)
+    del k, at, y
+    give_back()  # the driver goes on with other stages
     return Machine(bits, b, bucket, w, v)
 
 
@@ -168,4 +170,4 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "score"])
 
     kind = ", ".join(f"`{n}` {t}" for n, t in docs.drop("score", "held_out").dtypes)
-    return docs.drop("score", "held_out").mapInArrow(scored, f"{kind}, score double").withColumn("held_out", F.expr(HELD_OUT))
+    return docs.drop("score", "held_out").mapInArrow(tidy(scored), f"{kind}, score double").withColumn("held_out", F.expr(HELD_OUT))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leafwork.llm.common import discard, small_batches, stage
 from leafwork.llm.suffixes import suffix_array
-from leafwork.llm.textbytes import BASE, BYTE, U, buffers, chunks, mix, powers
+from leafwork.llm.textbytes import BASE, BYTE, U, buffers, chunks, mix, powers, tidy
 
 GRAM = 16
 BLOCK = 8
@@ -98,7 +98,7 @@ def _marked(docs: DataFrame, length: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for x in (gram, content, meta)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), *lists], ["doc_id", "key", "gram", "content", "meta"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, gram array<bigint>, content array<bigint>, meta array<bigint>")
+    return docs.mapInArrow(tidy(run), "doc_id long, key long, gram array<bigint>, content array<bigint>, meta array<bigint>")
 
 
 def repeated_in_bucket(doc: np.ndarray, place: np.ndarray, most: np.ndarray, least: np.ndarray, slices: list[bytes], length: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,11 +237,11 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
         take = pa.array(which)
         return pa.table({"doc_id": t.column("doc_id").take(take), "key": t.column("key").take(take), "lo": lo, "hi": hi})
 
-    slices = asked(some.join(many, "gram", "left_anti")).mapInArrow(cut, "bucket long, doc_id long, key long, place long, most long, least long, piece binary")
+    slices = asked(some.join(many, "gram", "left_anti")).mapInArrow(tidy(cut), "bucket long, doc_id long, key long, place long, most long, least long, piece binary")
     differing = slices.groupBy("bucket").applyInArrow(sort, "doc_id long, key long, lo long, hi long")
     differing = stage(differing, "differing")
     if not many.isEmpty():
-        strings = stage(asked(some.join(many, "gram", "left_semi")).mapInArrow(name, "doc_id long, key long, lo long, name binary"), "strings")
+        strings = stage(asked(some.join(many, "gram", "left_semi")).mapInArrow(tidy(name), "doc_id long, key long, lo long, name binary"), "strings")
         leads = strings.groupBy("name").agg(F.min(F.struct(least_id.alias("d"), "lo")).alias("lead"))
         again = strings.join(leads, "name").filter((least_id != F.col("lead.d")) | (F.col("lo") != F.col("lead.lo")))
         differing = stage(differing.union(again.select("doc_id", "key", "lo", (F.col("lo") + length).alias("hi"))), "differing")
@@ -251,6 +251,35 @@ def covered(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     return parts.unionByName(whole)
 
 
+def _cut(text: str | None, spans: list | None) -> tuple[bytes, int, int, int]:
+    """The bytes of text without spans (sorted; they may overlap), its bytes, those removed, and the runs of them."""
+    data = (text or "").encode()
+    parts, upto, removed, n = [], 0, 0, 0
+    for s in spans or []:
+        lo, hi = s["lo"], s["hi"]
+        if lo > upto or (n == 0):
+            parts.append(data[upto:lo])
+            n += 1
+            removed += hi - lo
+            upto = hi
+        elif hi > upto:
+            removed += hi - upto
+            upto = hi
+    parts.append(data[upto:])
+    return b"".join(parts), len(data), removed, n
+
+
+def _with_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
+    """Adds spans (null where nothing repeats) to docs."""
+    small_batches(docs.sparkSession)
+    if length < 32 or length > 255:
+        raise ValueError("length from 32 to 255 bytes")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("_key", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
+    found = covered(keyed.select(F.col("doc_id").cast("long"), F.col("_key").alias("key"), text.alias("text")), length, hot)
+    return keyed.join(found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans"), (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d", "_k", "_key")
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """Adds kept (the remaining bytes), n_bytes, n_removed, n_spans and kept_sha256 to docs (doc_id, text).
 
@@ -258,61 +287,44 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
     document twice: both are judged alike. A null doc_id comes before all others. Columns of the new names in docs
     are replaced.
     """
-    small_batches(docs.sparkSession)
-    if length < 32 or length > 255:
-        raise ValueError("length from 32 to 255 bytes")
     new = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     base = docs.drop(*new, "_key")
-    text = F.coalesce("text", F.lit(""))
-    keyed = base.withColumn("_key", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
-    spans = covered(keyed.select(F.col("doc_id").cast("long"), F.col("_key").alias("key"), text.alias("text")), length, hot)
-    joined = keyed.join(spans.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans"), (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d", "_k", "_key")
+    joined = _with_spans(base, length, hot)
 
     def apply(batches):
         for batch in batches:
             out = {n: [] for n in new}
             for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                data = (text or "").encode()
-                parts, upto, removed, n = [], 0, 0, 0
-                for s in own or []:
-                    lo, hi = s["lo"], s["hi"]
-                    if lo > upto or (n == 0):
-                        parts.append(data[upto:lo])
-                        n += 1
-                        removed += hi - lo
-                        upto = hi
-                    elif hi > upto:
-                        removed += hi - upto
-                        upto = hi
-                parts.append(data[upto:])
-                kept = b"".join(parts)
-                for name, v in zip(new, (kept, len(data), removed, n, hashlib.sha256(kept).hexdigest())):
+                kept, *figures = _cut(text, own)
+                for name, v in zip(new, (kept, *figures, hashlib.sha256(kept).hexdigest())):
                     out[name].append(v)
             keep = [c for c in batch.schema.names if c != "spans"]
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(out[n], k) for n, k in zip(new, kinds))], [*keep, *new])
 
     kind = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    return joined.mapInArrow(apply, f"{kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(apply), f"{kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with what repeats taken out of text (and n_chars, if there); a character cut in the middle goes.
 
-    A null text becomes an empty one. Other columns stay, whatever their names.
+    A null text becomes an empty one. Other columns stay, whatever their names. Cut and decoded in one Python pass: a
+    second one behind it would take a second worker for every running task.
     """
     names = docs.columns
     others = [c for c in names if c not in ("doc_id", "text", "n_chars")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row"))
-    kept = remove_repeats(packed, length).select("doc_id", "row", "kept")
+    joined = _with_spans(packed, length, HOT).select("doc_id", "text", "row", "spans")
 
     def decode(batches):
         for batch in batches:
-            texts = [k.decode(errors="ignore") for k in batch.column("kept").to_pylist()]
+            pairs = zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+            texts = [_cut(text, own)[0].decode(errors="ignore") for text, own in pairs]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "row", "text", "n_chars"])
 
-    kinds = dict(kept.dtypes)
-    out = kept.mapInArrow(decode, f"doc_id {kinds['doc_id']}, row {kinds['row']}, text string, n_chars long")
+    kinds = dict(joined.dtypes)
+    out = joined.mapInArrow(tidy(decode), f"doc_id {kinds['doc_id']}, row {kinds['row']}, text string, n_chars long")
     made = {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in names:
         made["n_chars"] = F.col("n_chars").cast(docs.schema["n_chars"].dataType).alias("n_chars")

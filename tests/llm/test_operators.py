@@ -7,13 +7,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, queries, repeats, routing, rules, urls
+from leafwork.llm import bitpack, chosenpath, factorization, forest, mixing, packing, queries, repeats, routing, rules, textbytes, urls
 from leafwork.llm.common import components, prefix, stage
 from leafwork.llm.encoder import Encoder, _classes, encoder
 from leafwork.llm.queries import TOKENIZER, URL_RULES
@@ -259,6 +260,33 @@ def test_repeats(spark, odd, hot):
     assert repeats.without_repeats(df.limit(5)).columns == df.columns
 
 
+def test_repeats_are_cut_in_one_python_pass(spark):
+    """A second Python step behind the first takes a second worker for every running task, which then live on."""
+    same = "".join(random.Random(5).choices("abcdé", k=300))
+    df = spark.createDataFrame([(1, same, "x", 1), (2, "début " + same + " fin", None, 2), (3, None, "y", 3)], "doc_id long, text string, spans string, n_chars int")
+    out = repeats.without_repeats(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: tuple(r) for r in out.collect()}
+    assert got == {1: (1, same, "x", 300), 2: (2, "début  fin", None, 10), 3: (3, "", "y", 0)}
+
+
+def test_memory_goes_back(spark, sf, tmp_path, monkeypatch):
+    """Of workers at the end of each task, of the driver after a fit."""
+    mark = tmp_path / "worker"
+
+    def noted(batches):
+        yield from batches
+
+    kept = []
+    monkeypatch.setattr(textbytes, "give_back", lambda: mark.write_text("given"))
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    assert list(textbytes.tidy(noted)(iter([batch, batch]))) == [batch, batch] and mark.read_text() == "given"
+    monkeypatch.setattr(factorization, "give_back", lambda: kept.append("fit"))
+    docs = spark.createDataFrame([(i, f"bom dia {'tolo' if i % 3 == 0 else 'amigo'}") for i in range(200)], "doc_id long, text string")
+    factorization.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic"))
+    assert kept == ["fit"]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16)).astype(np.float32)
