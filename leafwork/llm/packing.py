@@ -18,7 +18,9 @@ from pyspark.sql.window import Window
 
 from leafwork.llm.common import small_batches, stage
 from leafwork.llm.encoder import encoder
-from leafwork.llm.textbytes import buffers, chunks
+from leafwork.llm.textbytes import buffers, chunks, give_back, tidy
+
+FILES = 8  # of the counts by task and length
 
 
 def patterns(lengths: np.ndarray, full: int) -> np.ndarray:
@@ -138,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, a
             texts = batch.column("text")
             doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)
             null = np.asarray(batch.column("doc_id").is_null())
-            for a, b in chunks(buffers(texts)[1], 4 << 20):
+            for a, b in chunks(buffers(texts)[1], 2 << 20):
                 ids, ends = enc.encode(texts.slice(a, b - a))
                 n = np.diff(ends) + 1
                 stream = np.empty(len(ids) + b - a, "<u4")
@@ -168,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, full: int = 1024, end_id: int = 2, a
                 yield pa.RecordBatch.from_pydict(out | {"ids_crc32": pa.array(crc, pa.int64()), "part": pa.array(np.full(len(doc), part)), "local": local})
 
     kind = f"doc_id long, piece int, start long, length long, {'ids binary, ' * with_ids}ids_crc32 long, part long, local long"
-    return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, kind), "pieces")
+    return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), kind), "pieces")
 
 
 def place(cut: DataFrame, full: int = 1024) -> DataFrame:
@@ -177,7 +179,8 @@ def place(cut: DataFrame, full: int = 1024) -> DataFrame:
     A piece's rank among those of its length is its task's first rank (a running sum of counts by task) plus `local`.
     """
     small_batches(cut.sparkSession)
-    counts = stage(cut.groupBy("part", "length").count(), "lengths")
+    # a few figures a task go into few files: around writes an executor starts helpers, which share its memory at first
+    counts = stage(cut.groupBy("part", "length").count().coalesce(FILES), "lengths")
     histogram = np.zeros(full + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most `full` rows
         histogram[r["length"]] = r["n"]
@@ -193,6 +196,7 @@ def place(cut: DataFrame, full: int = 1024) -> DataFrame:
             offset += v
         sequence += times
     assert (used == histogram).all()
+    give_back()
     # a slot: the pieces of a length from a rank on go to the sequences from one on, at one offset; bounded as the plan is
     slots = np.array(sorted(slots), np.int64).reshape(-1, 4)
     key = slots[:, 0] * (1 << 48) + slots[:, 1]

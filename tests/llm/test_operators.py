@@ -139,6 +139,34 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0), TOKENIZER).collect() == []
 
 
+def test_packing_in_many_parts(spark, monkeypatch):
+    """The counts lie in few files however many partitions a shuffle has, and the driver gives the plan's memory back."""
+    docs = spark.createDataFrame([(i, "bom dia " * (i % 300)) for i in range(600)], "doc_id long, text string").repartition(7)
+    staged, given = {}, []
+
+    def noted(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(packing, "stage", noted)
+    monkeypatch.setattr(packing, "give_back", lambda: given.append(1))
+    keep = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keep}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    try:
+        got = packing.pack(docs, TOKENIZER, end_id=2).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(staged["lengths"].inputFiles()) <= packing.FILES and given
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 1024 and len({(r.doc_id, r.piece) for r in got}) == len(got) and {r.doc_id for r in got} == set(range(600))
+
+
 def test_packing_plan():
     h = np.bincount(np.minimum(1024, np.random.default_rng(1).lognormal(5.8, 1, 20_000).astype(int) + 1), minlength=1025)
     plan = packing.plan(h)
