@@ -5,15 +5,19 @@ one coordinate, and at times a second (4/3 on average, the inverse of the thresh
 set to the child named by the set's token there. A node of at most SMALL sets is compared exhaustively and ends. A
 larger one, a crowd, compares its sets with two pivots, and with one once there are components. The links of a level are confirmed and components joined before
 the next: a node whose sets are all linked is done, and of the others only pairs across components matter. What is
-still mixed branches on. Independent trees bring the recall to the target: a pair of similarity 0.75 shares a first
-child in one of 18 trees but for 0.25 ** 18. At level LEVELS branching stops, and crowds that are still mixed are
-compared exhaustively on full sets, tile against tile, whatever their size.
+still mixed branches on, but for tight crowds, whose sets agree with one of them in half of the tokens and more: branching
+would hand most of their sets to one child and some to a second, in every tree. They are put aside; those around the same
+set, from whatever trees and levels, are one crowd. Independent trees bring the recall to the target: a pair of similarity
+0.75 shares a first child in one of 18 trees but for 0.25 ** 18. At level LEVELS branching stops, and what is still mixed
+then or was put aside is compared exhaustively on full sets, tile against tile, whatever its size.
 Pairs are screened by 192 bits of the minwise tokens (a true pair fails by chance once in 100,000) and confirmed on
 full sets. Equal sets are one class throughout, so copies cost nothing, and no step gathers a large node in a task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -112,15 +116,20 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(sign), kind)
 
 
-def _alike_sql(a: str, b: str) -> str:
-    """Whether two sketches agree in enough places and the sets' sizes allow the similarity."""
+def _apart_sql(a: str, b: str) -> str:
+    """In how many places two sketches differ."""
     parts = []
     for k in range(COORDINATES // 16):
-        x = f"({a}.sketch[{k}] ^ {b}.sketch[{k}])"
+        x = f"({a}[{k}] ^ {b}[{k}])"
         y = f"({x} | shiftrightunsigned({x}, 1))"
         parts.append(f"bit_count(({y} | shiftrightunsigned({y}, 2)) & {0x1111111111111111}L)")
+    return " + ".join(parts)
+
+
+def _alike_sql(a: str, b: str) -> str:
+    """Whether two sketches agree in enough places and the sets' sizes allow the similarity."""
     size = f"least({a}.n, {b}.n) * 100 >= greatest({a}.n, {b}.n) * 75"
-    return f"({size} AND {' + '.join(parts)} <= {COORDINATES - SCREEN})"
+    return f"({size} AND {_apart_sql(f'{a}.sketch', f'{b}.sketch')} <= {COORDINATES - SCREEN})"
 
 
 def _alike(a: str, b: str) -> F.Column:
@@ -150,13 +159,28 @@ def _named(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return rows.join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
+def _several(rows: DataFrame, label: DataFrame | None, **told: F.Column) -> DataFrame:
+    """The rows of nodes that hold several components, with their component and what is told of the node."""
+    named = _named(rows, label)
+    found = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *(c.alias(k) for k, c in told.items()))
+    return named.join(found.filter("lo <> hi").select("node", *told), "node")
+
+
+def _pivot(*salt) -> F.Column:
+    """A member of the node; a linked set comes first: in a crowd it stands for most of the others."""
+    alone = F.col("component") == F.col("set_id")
+    return F.min(F.struct(alone.alias("alone"), F.xxhash64(*salt, "set_id").alias("h"), "component", "set_id", "n", "sketch"))
+
+
 def _mixed(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     """The rows of nodes that hold several components, with their component, the node's members and two pivots."""
-    named = _named(rows, label)
-    alone = F.col("component") == F.col("set_id")  # a linked set comes first: in a crowd it stands for most of the others
-    pivot = lambda salt: F.min(F.struct(alone.alias("alone"), F.xxhash64(F.lit(salt), "node", "set_id").alias("h"), "component", "set_id", "n", "sketch"))
-    found = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), pivot(1).alias("p"), pivot(2).alias("q"))
-    return named.join(found.filter("lo <> hi").select("node", "members", "p", "q"), "node")
+    return _several(rows, label, members=F.count("*"), p=_pivot(F.lit(1), "node"), q=_pivot(F.lit(2), "node"))
+
+
+def _tight(crowd: DataFrame) -> DataFrame:
+    """node, around (a set) of the crowds whose sets agree with their pivot m in half of the tokens or more, on average."""
+    apart = F.avg(F.expr(_apart_sql("sketch", "m.sketch")))
+    return crowd.groupBy("node").agg(apart.alias("apart"), F.first("m.set_id").alias("around")).filter(F.col("apart") <= COORDINATES // 2).select("node", "around")
 
 
 _FIELDS = ["set_id", "n", "sketch", "component"]
@@ -184,7 +208,7 @@ def _across(crowd: DataFrame, sets: DataFrame, tile: int = TILE, volume: int = V
     A node's sets are dealt into tiles, each pair of tiles is a task's work of bounded size, and only links leave it.
     """
     size = crowd.groupBy("node").agg(F.expr(f"int(greatest(ceil(count(*) / {tile}), ceil(sum(n) / {volume})))").alias("tiles"))
-    own = crowd.drop("sketch", "tokens").join(size, "node").withColumn("tile", F.expr("int(pmod(xxhash64(3, set_id), tiles))")).join(sets, "set_id")
+    own = crowd.join(size, "node").withColumn("tile", F.expr("int(pmod(xxhash64(3, set_id), tiles))")).join(sets, "set_id")
     own = own.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select("node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "set_id", "component", "shingles")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -315,10 +339,11 @@ def groups(docs: DataFrame, k: int = 5, trees: int = TREES, small: int = SMALL,
         signed = stage(apart, "signatures")
         classes = _classes(signed)
     label = sets = None
-    rows, crowd = roots(classes, trees), None
+    rows, aside = roots(classes, trees), []
     for level in range(levels):
-        last, met = crowd, stage(_mixed(rows, label), "met")
-        discard(last)
+        met = stage(_mixed(rows, label), "met")
+        if level:
+            discard(rows)
         pairs = stage(_pairs(met, small, "p, q" if label is None else "p"), "pairs")
         crowd = met.filter(F.col("members") > small).drop("component", "members", "p", "q")
         if sets is None:  # whoever may be compared later is in a pair or a crowd of the first level
@@ -326,15 +351,25 @@ def groups(docs: DataFrame, k: int = 5, trees: int = TREES, small: int = SMALL,
             sets = stage(full_sets(docs, classes.join(wanted, "set_id").select("set_id", "name", "doc_id"), k), "sets")
         links = stage(confirm(pairs, sets), "links")
         label = _joined(label, links)
-        crowd = _mixed(crowd, label).drop("members", "p", "q")
-        crowd = stage(crowd if "tokens" in crowd.columns else crowd.join(classes.select("set_id", "tokens"), "set_id"), "crowd")
+        crowd = stage(_several(crowd, label, m=_pivot(F.lit(3))), "crowd")  # nodes of much the same sets have one m
         discard(met, pairs, links)
-        if crowd.isEmpty():
+        tight = stage(_tight(crowd), "tight")
+        aside.append(stage(crowd.join(tight, "node").select(F.col("around").alias("node"), "set_id", "n"), "aside"))
+        loose = crowd.join(tight, "node", "left_anti").drop("component", "m")
+        last = level + 1 == levels or loose.isEmpty()
+        if last:
+            aside.append(stage(loose.select("node", "set_id", "n"), "aside"))
+        else:  # staged, as it is read twice
+            rows = loose if "tokens" in loose.columns else loose.join(classes.select("set_id", "tokens"), "set_id")
+            rows = stage(_branch(rows), "branched")
+        discard(crowd, tight)
+        if last:
             break
-        rows = _branch(crowd)
-    if crowd is not None and not crowd.isEmpty():
-        links = stage(_across(crowd, sets), "links")
-        label = _joined(label, links)
+    if aside:
+        left = stage(_several(reduce(DataFrame.union, aside).distinct(), label), "left")
+        discard(*aside)
+        if not left.isEmpty():
+            label = _joined(label, stage(_across(left, sets), "links"))
     # a class's component is named by its smallest document
     label = _named(classes.select("set_id", "doc_id"), label)
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -248,6 +248,32 @@ def test_near_duplicates_in_a_crowded_node(spark):
     assert [r.doc_id for r in got if r.component_id != r.doc_id - r.doc_id % 2] == []
 
 
+def test_near_copies_do_not_branch(spark, monkeypatch):
+    """A large group of near copies, some of them linked with nothing, is compared exactly instead of being dealt to
+    ever more nodes of much the same sets; all that is compared at the end are the sets of a few crowds."""
+    rng, words, made, left = random.Random(8), 300, [], []
+    base, rows = [f"b{i}" for i in range(words)], []
+    for d in range(120):  # an edit replaces 5 shingles: 4 of them leave a copy that links, 17 one that is alone
+        own = list(base)
+        for k in range(4 if d % 3 else 17):
+            own[(2 * d + 17 * k) % words] = f"o{d}_{rng.random()}"
+        rows.append((d, " ".join(own)))
+    branch, across = chosenpath._branch, chosenpath._across
+    monkeypatch.setattr(chosenpath, "_branch", lambda rows: made.append(branch(rows).count()) or branch(rows))
+    monkeypatch.setattr(chosenpath, "_across", lambda crowd, *rest: left.append(crowd.count()) or across(crowd, *rest))
+    got = chosenpath.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [{tuple(w[k : k + 5]) for k in range(words - 4)} for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        n = len(sets[i] & sets[j])
+        if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    assert len(set(label)) > 10
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+    assert sum(made) <= 2 * len(rows) and sum(left) <= 6 * len(rows)
+
+
 def test_near_duplicates_without_ids(spark):
     """A row without an id links its neighbours, and goes where its group has a row with an id."""
     text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))  # noqa: E731  0.82 to the middle, 0.68 from end to end
